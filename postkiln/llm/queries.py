@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postkiln.llm import mixing, mojibake, split, tokens
-from postkiln.session import written
+from postkiln.llm import conversations, mixing, mojibake, spans, split, tokens
+from postkiln.plans.core_queries import message_instants
+from postkiln.session import shared_dir, written
 from postkiln.sources.tables import table
 
 TEXT_FIELDS = ("text_body", "subject")
@@ -22,6 +23,24 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_fields(table(spark, d, "messages", "row_id", *TEXT_FIELDS), "row_id", TEXT_FIELDS)
 
 
+_CHAT = ("batch_no", "msg_id", "conversation_id", "in_reply_to", "sender_email", "from_email", "from_name", "text_body")
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of every whole conversation with role and likeliest parent."""
+    return conversations.linked_turns(message_instants(spark, d, *_CHAT), table(spark, d, "mailboxes"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_turns(spark, d).select("conversation_id", "turn_no", "msg_id")
+
+
+def p4_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with the first turn of their link tree."""
+    shared_dir(spark)
+    return conversations.tree_roots(written(p4_turns(spark, d), "p4-turns"))
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     mails = table(spark, d, "messages", "row_id", "text_body").select(F.lit("message").alias("item_kind"), F.col("row_id").alias("item_key"), F.col("text_body").alias("content"))
     chunks = table(spark, d, "evidence_chunks", "chunk_id", "content").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), "content")
@@ -47,7 +66,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    """For each document with a shared passage, its length and the characters inside such passages."""
+    return spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shared(spark, d).select("doc_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p4_trees": p4_trees, "p10_found": p10_found, "p10_shared": p10_shared, "p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL = {
     "p6_found": """SELECT 'message' AS item_kind, row_id AS item_key FROM messages WHERE length(text_body) > (SELECT max_chars FROM split_limits WHERE item_kind = 'message')
 UNION ALL SELECT 'chunk', chunk_id FROM evidence_chunks WHERE length(content) > (SELECT max_chars FROM split_limits WHERE item_kind = 'chunk')""",
