@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postkiln.llm import conversations, mixing, mojibake, spans, split, tokens
+from postkiln.llm import conversations, mixing, mojibake, newtext, spans, split, tokens
 from postkiln.plans.core_queries import message_instants
 from postkiln.session import shared_dir, written
 from postkiln.sources.tables import table
@@ -23,6 +23,16 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_fields(table(spark, d, "messages", "row_id", *TEXT_FIELDS), "row_id", TEXT_FIELDS)
 
 
+def p3_new_text(spark: SparkSession, d: str) -> DataFrame:
+    """The newly written text of every message that has a body, and the kinds of what was left out."""
+    columns = ("conversation_id", "msg_id", "in_reply_to", "ingested_at", "text_body", "from_name")
+    return newtext.with_new_text(message_instants(spark, d, *columns))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_new_text(spark, d).select("row_id", F.explode("left_out").alias("part_kind"))
+
+
 _CHAT = ("batch_no", "msg_id", "conversation_id", "in_reply_to", "sender_email", "from_email", "from_name", "text_body")
 
 
@@ -75,7 +85,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_shared(spark, d).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p4_trees": p4_trees, "p10_found": p10_found, "p10_shared": p10_shared, "p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p3_new_text": p3_new_text, "p4_found": p4_found, "p4_turns": p4_turns, "p4_trees": p4_trees, "p10_found": p10_found, "p10_shared": p10_shared, "p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL = {
     "p6_found": """SELECT 'message' AS item_kind, row_id AS item_key FROM messages WHERE length(text_body) > (SELECT max_chars FROM split_limits WHERE item_kind = 'message')
 UNION ALL SELECT 'chunk', chunk_id FROM evidence_chunks WHERE length(content) > (SELECT max_chars FROM split_limits WHERE item_kind = 'chunk')""",
