@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postkiln.llm import conversations, mixing, mojibake, newtext, spans, split, tokens
+from postkiln.llm import conversations, mixing, mojibake, newtext, pii, spans, split, tokens
 from postkiln.plans.core_queries import message_instants
 from postkiln.session import shared_dir, written
 from postkiln.sources.tables import table
@@ -62,6 +62,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).filter("piece_no = 2").select("item_kind", "item_key")
 
 
+def p7_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Each field with personal information, with placeholders in its place."""
+    lexicon = pii.name_lexicon(table(spark, d, "messages", "from_name"), "from_name")
+    return pii.tagged_fields(table(spark, d, "messages", "row_id", *TEXT_FIELDS), lexicon, "row_id", TEXT_FIELDS)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_masked(spark, d).select("row_id", "field_name", F.explode("kinds").alias("pii_kind"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents", "doc_id", "text"))
 
@@ -85,7 +95,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_shared(spark, d).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_new_text": p3_new_text, "p4_found": p4_found, "p4_turns": p4_turns, "p4_trees": p4_trees, "p10_found": p10_found, "p10_shared": p10_shared, "p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p7_found": p7_found, "p7_masked": p7_masked, "p3_found": p3_found, "p3_new_text": p3_new_text, "p4_found": p4_found, "p4_turns": p4_turns, "p4_trees": p4_trees, "p10_found": p10_found, "p10_shared": p10_shared, "p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL = {
     "p6_found": """SELECT 'message' AS item_kind, row_id AS item_key FROM messages WHERE length(text_body) > (SELECT max_chars FROM split_limits WHERE item_kind = 'message')
 UNION ALL SELECT 'chunk', chunk_id FROM evidence_chunks WHERE length(content) > (SELECT max_chars FROM split_limits WHERE item_kind = 'chunk')""",
