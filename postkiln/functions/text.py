@@ -1,0 +1,170 @@
+"""Scalar operators on text: native expressions, except where Unicode normal forms or grammars need Python."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Reply prefixes, external marks and the longest tag of subjects.
+REPLY_PREFIX = r"(?iu)^(?:(?:re|fwd?|ответ|отв|пересл|пер)(?:\[\d+\])?:\s*)+"
+EXTERNAL_MARK = r"(?iu)[(\[](?:external|внешний)[)\]]"
+SUBJECT_TAG = r"\[[^\]]{1,50}\]|\([^)]{1,50}\)"
+EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F190}-\x{1F1FF}\x{2600}-\x{27BF}\x{1F900}-\x{1F9FF}]+"
+# Typographic characters and what they become.
+ONE_TO_ONE = {"‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "–": "-", " ": " ", " ": " ", " ": " "}
+ONE_TO_MANY = {"—": "--", "…": "...", "​": "", "﻿": ""}
+# What logs hide.
+SENSITIVE = (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b")
+REDACTED = "[[REDACTED]]"
+
+
+@F.pandas_udf(T.StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """Canonical composition; Spark has no builtin for it."""
+    return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else x)
+
+
+def plain_punctuation(c: Column) -> Column:
+    out = F.translate(c, "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values()))
+    for a, b in ONE_TO_MANY.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def one_line(c: Column) -> Column:
+    """All white space of a text as single spaces: the flattening used for display, never before operators on lines."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def tidy_lines(c: Column) -> Column:
+    """At most one blank line in a row, single spaces, trimmed lines and no blank edges; line ends become \\n."""
+    unix = F.regexp_replace(c, r"\r\n?", "\n")
+    trimmed = F.regexp_replace(F.regexp_replace(unix, r"[ \t]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"), r"^[\n ]+|[\n ]+$", "")
+
+
+def words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def token_estimate(c: Column) -> Column:
+    """int(words * 1.3), in integers."""
+    return F.floor(F.size(words(c)) * 13 / 10).cast("int")
+
+
+def char_token_estimate(c: Column) -> Column:
+    return F.floor(F.char_length(c) / 4).cast("int")
+
+
+def truncate_bytes(c: Column, limit: int, mark: str = "\n[TRUNCATED]") -> Column:
+    """At most ``limit`` bytes of UTF-8, without a broken last character, and a mark where something was cut."""
+    raw = F.encode(c, "UTF-8")
+    cut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, limit - k).cast("string")) for k in range(4)])
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.concat(cut, F.lit(mark)))
+
+
+def subject_key(c: Column) -> Column:
+    """Subject without reply prefixes, external marks, tags, emoji and typography, in lower case and single spaces."""
+    out = F.regexp_replace(F.trim(c), REPLY_PREFIX, "")
+    out = F.regexp_replace(out, EXTERNAL_MARK, "")
+    out = F.regexp_replace(out, SUBJECT_TAG, "")
+    out = F.regexp_replace(out, EMOJI, "")
+    out = F.translate(F.regexp_replace(out, "[«»“”„]", '"'), "‘’—–", "''--")
+    return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
+
+
+def same_subject(a: Column, b: Column) -> Column:
+    """Equal keys that are not empty."""
+    return F.coalesce((subject_key(a) == subject_key(b)) & (subject_key(a) != ""), F.lit(False))
+
+
+def trigrams(c: Column, head: int = 200) -> Column:
+    """Distinct character trigrams of the first ``head`` characters in lower case; empty under three characters."""
+    t = F.lower(F.substring(c, 1, head))
+    return F.when(F.char_length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared by all elements of two sets; 0 where either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+
+
+def confidence_label(c: Column) -> Column:
+    return F.when(c >= 0.9, "very high").when(c >= 0.7, "high").when(c >= 0.5, "medium").when(c >= 0.3, "low").otherwise("very low")
+
+
+def limit_words(c: Column, most: int, kept: int, note: str = "...") -> Column:
+    w = words(c)
+    return F.when(F.size(w) <= most, c).otherwise(F.concat(F.array_join(F.slice(w, 1, kept), " "), F.lit(" " + note)))
+
+
+def cut_at_sentence(c: Column, limit: int) -> Column:
+    """The longest beginning of at most ``limit`` characters that ends with a sentence, else with a word and an ellipsis."""
+    head = F.substring(c, 1, limit)
+    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?…])(?:\s|$)", 1)
+    word = F.regexp_extract(F.substring(c, 1, limit - 3), r"(?s)^(.*\S)\s+\S*$", 1)
+    fallback = F.concat(F.when(word != "", word).otherwise(F.substring(c, 1, limit - 3)), F.lit("..."))
+    return F.when(F.char_length(c) <= limit, c).when(sentence != "", sentence).otherwise(fallback)
+
+
+def redact(c: Column) -> Column:
+    for pattern in SENSITIVE:
+        c = F.regexp_replace(c, pattern, REDACTED)
+    return c
+
+
+def strip_tags(c: Column) -> Column:
+    """Markup removed by pattern: the way out for pages that do not parse."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style|svg)\b.*?</\1>", " "), r"<[^>]+>", " "))
+
+
+def looks_unparsed(text: Column, html: Column) -> Column:
+    """Whether extracted text is no text: empty, or unchanged with angle brackets, or without two letters in a row."""
+    outside = F.regexp_replace(text, r"<[^>]*>", "")
+    return (F.trim(text) == "") | ((text == html) & text.rlike("[<>]")) | ~outside.rlike(r"\p{L}{2}")
+
+
+def login_of(address: Column) -> Column:
+    return F.lower(F.substring_index(address, "@", 1))
+
+
+def domain_of(address: Column) -> Column:
+    return F.when(address.contains("@"), F.lower(F.substring_index(address, "@", -1)))
+
+
+def evidence_ids(c: Column) -> Column:
+    """Identifiers written as ID: ev-... in a text."""
+    return F.regexp_extract_all(c, F.lit(r"\bID:\s*(ev-[a-f0-9-]+)"), F.lit(1))
+
+
+def json_part(c: Column) -> Column:
+    """A model's reply without fences, up to its last brace, and without commas before closing ones."""
+    bare = F.regexp_replace(F.trim(c), r"(?is)^```(?:json)?\s*|\s*```$", "")
+    upto = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    return F.regexp_replace(F.when(upto != "", upto).otherwise(bare), r",\s*([}\]])", "$1")
+
+
+def split_reply(text: str) -> tuple[str, str]:
+    """(JSON, text after it) of a model's reply; braces inside strings do not count."""
+    start = text.find("{")
+    if start < 0:
+        return "", text.strip()
+    depth, inside, escaped = 0, False, False
+    for i in range(start, len(text)):
+        ch = text[i]
+        if inside:
+            escaped = ch == "\\" and not escaped
+            if ch == '"' and not escaped and text[i - 1] != "\\":
+                inside = False
+        elif ch == '"':
+            inside = True
+        elif ch in "{}":
+            depth += 1 if ch == "{" else -1
+            if depth == 0:
+                return text[start : i + 1], re.sub(r"^```\s*", "", text[i + 1 :].strip()).strip()
+    return "", text.strip()
