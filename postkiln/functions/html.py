@@ -118,7 +118,7 @@ def to_text(page: str) -> str:
     tree.feed(page)
     tree.close()
     text = _html.unescape(_inner(tree.root)).replace("\r\n", "\n").replace("\xa0", " ")
-    lines = [re.sub(r"[ \t]+", " ", x).strip() for x in text.split("\n")]
+    lines = [x.strip() if x.startswith("| ") else re.sub(r"[ \t]+", " ", x).strip() for x in text.split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
