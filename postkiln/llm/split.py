@@ -35,7 +35,7 @@ def cuts(text: str, limit: int) -> list[int]:
         while end - at > limit:
             cut = at + limit
             # not inside a character made of several code points, nor inside a line end
-            while cut > at + limit // 2 and (_JOINED.match(text, cut) or text[cut - 1] == "‍" or text[cut - 1 : cut + 1] == "\r\n"):
+            while cut > at + max(1, limit // 2) and (_JOINED.match(text, cut) or text[cut - 1] == "‍" or text[cut - 1 : cut + 1] == "\r\n"):
                 cut -= 1
             ends.append(cut)
             at = cut
