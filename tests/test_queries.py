@@ -1,5 +1,6 @@
 """Every query that has SQL gives the same rows at the smallest size, wherever the test tables are present."""
 
+import numbers
 import os
 
 import duckdb
@@ -14,7 +15,7 @@ QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("-" if pd.api.types.is_scalar(v) and pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df.itertuples(index=False, name=None))
+    return sorted(tuple("-" if pd.api.types.is_scalar(v) and pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v) for v in r) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
