@@ -1,8 +1,9 @@
 """Only the text newly written in each mail (problem 3).
 
-Threads are rebuilt from the reply headers: the nearest ancestor that is in the store (the named parent, else the mail before in
-the same conversation) holds everything its descendants can have inherited from further up. Lines are compared with the
-ancestor's by rolling hashes of word shingles, and hits are aligned in sequence; inherited spans are removed, marked or not.
+Each mail is compared with all earlier mails of its conversation, of whatever branch: every run of LEAST_RUN words is hashed, an
+index holds the earliest mail of each hash, and a word is inherited where it lies in a run whose earliest mail is an earlier one.
+Mails stand in order of time, but never before the mail they answer; deliveries of one mail, and equal texts, are one mail.
+Inherited spans are removed, marked or not; the rest of a copy is recognised by the lines of the mails that hit.
 Marks of quoting (prefixes, attributions, header blocks) name what came from mails that are no longer in the store. Signatures
 and notices are then looked for in what remains.
 """
@@ -10,8 +11,9 @@ and notices are then looked for in what remains.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from postkiln.llm import mojibake
 from postkiln.operators.deliveries import cleaned_id
+from postkiln.operators.skew import ranked_by_range
 from postkiln.session import written
 
 #: Words of one shingle, and least words of an aligned run that counts as inherited.
@@ -77,14 +80,14 @@ _NO_HASHES = np.zeros(0, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _rolling(words: list[str]) -> np.ndarray:
-    """Hash of each SHINGLE consecutive words: one polynomial, rolled over the whole text at once."""
-    if len(words) < SHINGLE:
+def _rolling(words: list[str], size: int = SHINGLE, code: Callable[[str], int] = hash) -> np.ndarray:
+    """Hash of each ``size`` consecutive words: one polynomial, rolled over the whole text at once."""
+    if len(words) < size:
         return _NO_HASHES
-    codes = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
-    n = len(codes) - SHINGLE + 1
+    codes = np.fromiter(map(code, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    n = len(codes) - size + 1
     out = codes[:n].copy()
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         out *= _BASE
         out += codes[k : k + n]
     return out ^ (out >> np.uint64(29))
@@ -125,6 +128,36 @@ def inherited_lines(text: str, ancestor: str) -> list[float]:
     return np.where(total > 0, hits / np.maximum(total, 1), -1.0).tolist()
 
 
+def _code(text: str) -> int:
+    """A hash that is the same in every process."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_word_code = lru_cache(maxsize=100_000)(_code)
+
+
+def _runs(text: str, code: Callable[[str], int] = hash) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(lines, line of each word, hash of each run of LEAST_RUN words) of a text."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    found = [_WORD.findall(_bare(line).lower()) for line in lines]
+    owner = np.repeat(np.arange(len(lines)), [len(f) for f in found])
+    return lines, owner, _rolling([w for f in found for w in f], LEAST_RUN, code)
+
+
+def _shares(n_lines: int, owner: np.ndarray, inherited: np.ndarray) -> list[float]:
+    """For each line the share of its words that lie in inherited runs; -1 without words."""
+    hit = np.zeros(len(owner), dtype=bool)
+    for k in range(LEAST_RUN if len(inherited) else 0):
+        hit[k : k + len(inherited)] |= inherited
+    total = np.bincount(owner, minlength=n_lines)
+    hits = np.bincount(owner, weights=hit, minlength=n_lines)
+    return np.where(total > 0, hits / np.maximum(total, 1), -1.0).tolist()
+
+
+def _stripped(lines: list[str]) -> set[str]:
+    return {x.strip() for x in lines if x.strip()}
+
+
 # One of these stands in every notice; they spare most paragraphs the search.
 _NOTICE_KEYS = ("outside sender", "extern", "caution:", "внешний отправитель", "you get this", "to leave the list", "unsubscribe", "confiden", "notice", "addressees only", "intended", "in error", "you in error", "contents are private", "without written", "unaudited", "предназначено только", "по ошибке", "офертой", "не подлежат", "конфиденциальн", "отписаться", "genannten empfänger", "irrtümlich", "vertraulich", "weitergabe nur", "falls sie", "destinada apenas", "por engano", "aviso", "conteúdo reservado", "sem autorização")
 
@@ -141,11 +174,20 @@ def _is_attribution(line: str) -> bool:
 
 
 def classify(text: str, ancestor: str | None, names: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
-    """(lines, kind of each): '' for newly written text, 'quoted', 'signature' or 'disclaimer'."""
+    """``classified`` beside one earlier mail, or none."""
     lines = list(_shingled(text)[0])
+    share = inherited_lines(text, ancestor) if ancestor else [0.0] * len(lines)
+    theirs = _stripped((ancestor or "").replace("\r\n", "\n").split("\n"))
+    return lines, classified(lines, share, theirs.__contains__, names)
+
+
+def classified(lines: list[str], share: list[float], is_theirs: Callable[[str], bool], names: tuple[str, ...] = ()) -> list[str]:
+    """The kind of each line: '' for newly written text, 'quoted', 'signature' or 'disclaimer'.
+
+    ``share`` is the inherited share of each line's words, ``is_theirs`` whether a line stands in a mail it is inherited from.
+    """
     n = len(lines)
     kind = [""] * n
-    share = inherited_lines(text, ancestor) if ancestor else [0.0] * n
     blank = [not _bare(x).strip() for x in lines]
     # from a separator, a header block or an attribution without prefixes below it, everything is quoted
     i = 0
@@ -192,7 +234,7 @@ def classify(text: str, ancestor: str | None, names: tuple[str, ...] = ()) -> tu
         carries_on = i and not blank[i - 1] and not prefixed[i - 1] and lines[i - 1].rstrip()[-1:] not in ".:!?…»\"“”)," and not kind[i - 1]
         if share[i] >= 0.5 or (mark == ">" and not (alone and carries_on) and not re.match(r"\s*>\s*=?\s*\d+\s*(?:ms|%|s|kb|mb|gb)\b", lines[i], re.I)) or (mark in "|»" and n_prefixed >= 2):
             kind[i] = "quoted"
-    # unmarked text of the ancestor: whole lines that are aligned with it, and what stands between such lines
+    # unmarked text of earlier mails: whole lines that are aligned with it, and what stands between such lines
     copied = [i for i in range(n) if not kind[i] and share[i] >= 0.6 and not (_is_notice(lines[i]) or _CLOSING.match(lines[i]) or _DEVICE.match(lines[i]) or _CARD.match(lines[i]))]
     # a name block is not a quotation: lines shorter than a sentence count only beside longer ones
     solid = [i for i in copied if len(_WORD.findall(lines[i])) >= LEAST_RUN]
@@ -204,9 +246,8 @@ def classify(text: str, ancestor: str | None, names: tuple[str, ...] = ()) -> tu
     if solid:
         # the rest of an appended copy: greeting above it, signature and notices below it
         first, last = solid[0], solid[-1]
-        theirs = {x.strip() for x in (ancestor or "").replace("\r\n", "\n").split("\n") if x.strip()}
         for step, at in ((-1, first - 1), (1, last + 1)):
-            while 0 <= at < n and (blank[at] or _bare(lines[at]).strip() in theirs) and kind[at] in ("", "quoted"):
+            while 0 <= at < n and (blank[at] or is_theirs(_bare(lines[at]).strip())) and kind[at] in ("", "quoted"):
                 if not blank[at]:
                     kind[at] = "quoted"
                 at += step
@@ -214,7 +255,7 @@ def classify(text: str, ancestor: str | None, names: tuple[str, ...] = ()) -> tu
     if live:
         _notices(lines, kind, live)
         _signature(lines, kind, [i for i in live if not kind[i]], names)
-    return lines, kind
+    return kind
 
 
 def _notices(lines: list[str], kind: list[str], live: list[int]) -> None:
@@ -285,7 +326,10 @@ def newly_written(text: str | None, ancestor: str | None, names: tuple[str, ...]
         return None, []
     if ancestor is not None and ancestor.split() == text.split():
         ancestor = None  # another delivery of the same mail, not an earlier one
-    lines, kind = classify(text, ancestor, names)
+    return _split(*classify(text, ancestor, names))
+
+
+def _split(lines: list[str], kind: list[str]) -> tuple[str, list[str]]:
     kept = "\n".join(x for x, k in zip(lines, kind) if not k)
     return re.sub(r"\n{3,}", "\n\n", kept).strip(), [k for k in ("quoted", "signature", "disclaimer") if k in kind]
 
@@ -310,32 +354,99 @@ def ancestors(rows: DataFrame) -> DataFrame:
     return both.select("row_id", F.coalesce(F.when(F.col("named") != F.col("row_id"), F.col("named")), other).alias("ancestor_row")).filter("ancestor_row IS NOT NULL")
 
 
+def places(keys: DataFrame) -> DataFrame:
+    """(conversation_id, row_id, id, place): rows numbered within their conversation by time, but after the mail they answer.
+
+    A row that does not stand after its parent takes the parent's time, one step deeper. That is passed down until nothing
+    changes, so it takes as many rounds as rows out of order follow each other. A circle of replies ends where the time came from.
+    """
+    firsts = keys.filter("id IS NOT NULL").groupBy("conversation_id", F.col("id").alias("parent")).agg(F.min("row_id").alias("_above"))
+    state = keys.join(firsts, ["conversation_id", "parent"], "left").withColumn("_above", F.nullif("_above", "row_id")).withColumn("_at", F.struct("when", "row_id")).withColumn("_depth", F.lit(0))
+    while True:
+        state = written(state, "large-places")
+        above = state.select(F.col("row_id").alias("_above"), F.col("_at").alias("_their_at"), (F.col("_depth") + 1).alias("_their_depth"))
+        late = (F.col("_their_at.row_id") != F.col("row_id")) & (F.struct("_their_at", "_their_depth") > F.struct("_at", "_depth"))
+        moved = written(state.join(above, "_above").filter(late).select("row_id", "_their_at", "_their_depth"), "large-moved")
+        if moved.isEmpty():
+            break
+        state = state.join(moved, "row_id", "left").withColumn("_at", F.coalesce("_their_at", "_at")).withColumn("_depth", F.coalesce("_their_depth", "_depth")).drop("_their_at", "_their_depth")
+    days = state.withColumn("_day", F.coalesce(F.unix_date(F.to_date("_at.when")), F.lit(-(2**31))).cast("bigint"))
+    return ranked_by_range(days, "conversation_id", "_day", [F.col("_at.when"), F.col("_at.row_id"), F.col("_depth"), F.col("row_id")], "place").select("conversation_id", "row_id", "id", F.col("place").cast("bigint").alias("place"))
+
+
 _OUT = "row_id bigint, new_text string, left_out array<string>"
+_READ = "row_id bigint, conversation_id string, text_body string, from_name string, same bigint, runs array<bigint>, lines array<bigint>"
 
 
-def _judged(row: int, text: str, above: str | None, name: object) -> tuple[int, str | None, list[str]]:
-    fresh, kinds = newly_written(text, above, (name,) if isinstance(name, str) and name else ())
-    return row, fresh, kinds
+def _names(name: object) -> tuple[str, ...]:
+    return (name,) if isinstance(name, str) and name else ()
+
+
+def _in_place(rows: list[tuple], above: list[int | None]) -> list[int]:
+    """The numbers of ``places``, for rows in order of time with the index of each one's parent."""
+    at = [(i, 0) for i in range(len(rows))]
+    moved = True
+    while moved:
+        moved = False
+        for i, up in enumerate(above):
+            if up is not None and at[up][0] != i and (at[up][0], at[up][1] + 1) > at[i]:
+                at[i], moved = (at[up][0], at[up][1] + 1), True
+    out = [0] * len(rows)
+    for place, i in enumerate(sorted(range(len(rows)), key=lambda i: (at[i], rows[i][0]))):
+        out[i] = place
+    return out
 
 
 def _conversation(rows: list[tuple]) -> list[tuple]:
-    """The same choice of ancestors as in ``ancestors``, for (row_id, id, parent, text_body, from_name) in order of time."""
-    bodies = {r[0]: mojibake.repair(r[3])[0] if isinstance(r[3], str) else None for r in rows}
+    """The mails of a conversation, (row_id, id, parent, text_body, from_name) in order of time, each beside all earlier ones."""
+    if not rows:
+        return []
+    bodies = [mojibake.repair(r[3])[0] if isinstance(r[3], str) else None for r in rows]
+    at = {r[0]: i for i, r in enumerate(rows)}
     firsts: dict[str, int] = {}
     for row, key, *_ in rows:
         if isinstance(key, str):
             firsts[key] = min(row, firsts.get(key, row))
-    out, before = [], None
-    for row, key, parent, text, name in rows:
-        above = firsts.get(parent) if isinstance(parent, str) else None
-        if above == row:
-            above = None
-        if above is None and before is not None:
-            same = isinstance(key, str) and (before[1] == key or before[2] == key)
-            above = None if same else before[0]
-        if isinstance(text, str):
-            out.append(_judged(row, bodies[row], bodies.get(above), name))
-        before = (row, key, parent)
+    named = [at[firsts[r[2]]] if isinstance(r[2], str) and r[2] in firsts and firsts[r[2]] != r[0] else None for r in rows]
+    place = _in_place(rows, named)
+    by_id: dict[str, int] = {}
+    by_text: dict[str, int] = {}
+    same = [None if b is None else " ".join(b.split()) for b in bodies]
+    for (_, key, *_), text, n in zip(rows, same, place):
+        if isinstance(key, str):
+            by_id[key] = min(n, by_id.get(key, n))
+        if text is not None:
+            by_text[text] = min(n, by_text.get(text, n))
+    mail = [min(n, by_id.get(r[1], n) if isinstance(r[1], str) else n, by_text.get(t, n)) for r, t, n in zip(rows, same, place)]
+    read = [None if b is None else _runs(b) for b in bodies]
+    runs = [_NO_HASHES if x is None else x[2] for x in read]
+    _, which = np.unique(np.concatenate(runs), return_inverse=True)
+    first = np.full(len(which), len(rows), dtype=np.int64)
+    np.minimum.at(first, which, np.repeat(np.array(mail, dtype=np.int64), [len(x) for x in runs]))
+    of_mail: dict[int, list[int]] = {}
+    for i, n in enumerate(mail):
+        of_mail.setdefault(n, []).append(i)
+    known: dict[int, set[str]] = {}
+
+    def lines_of(n: int) -> set[str]:
+        if n not in known:
+            known[n] = set().union(*(_stripped(read[i][0]) for i in of_mail[n] if read[i] is not None))
+        return known[n]
+
+    out, start = [], 0
+    for i, (row, key, _, _, name) in enumerate(rows):
+        source = first[which[start : start + len(runs[i])]]
+        start += len(runs[i])
+        if read[i] is None:
+            continue
+        up = named[i]
+        if up is None and i and not (isinstance(key, str) and key in rows[i - 1][1:3]):
+            up = i - 1
+        lines, owner, _ = read[i]
+        inherited = source < mail[i]
+        near = {int(n) for n in np.unique(source[inherited])} | ({mail[up]} if up is not None and mail[up] < mail[i] else set())
+        kind = classified(lines, _shares(len(lines), owner, inherited), lambda x: any(x in lines_of(n) for n in near), _names(name))
+        out.append((row, *_split(lines, kind)))
     return out
 
 
@@ -354,6 +465,49 @@ def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out + _conversation(rows), columns=["row_id", "new_text", "left_out"])
 
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each body as restored, with a key of its words and the hashes of its runs and lines."""
+    for batch in batches:
+        out = []
+        for row, conversation, text, name in batch[["row_id", "conversation_id", "text_body", "from_name"]].itertuples(index=False, name=None):
+            body = mojibake.repair(text)[0]
+            lines, _, runs = _runs(body, _word_code)
+            out.append((row, conversation, body, name if isinstance(name, str) else None, _code(" ".join(body.split())), np.unique(runs.view(np.int64)), [_code(x) for x in _stripped(lines)]))
+        yield pd.DataFrame(out, columns=["row_id", "conversation_id", "text_body", "from_name", "same", "runs", "lines"])
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kinds of the lines of each restored body, beside the hashes of its inherited runs and of the lines of the mails that hit."""
+    for batch in batches:
+        out = []
+        for row, text, name, hits, theirs in batch[["row_id", "text_body", "from_name", "hits", "theirs"]].itertuples(index=False, name=None):
+            lines, owner, runs = _runs(text, _word_code)
+            inherited = np.zeros(len(runs), dtype=bool) if hits is None else np.isin(runs.view(np.int64), np.asarray(hits, dtype=np.int64))
+            known = frozenset(() if theirs is None else np.asarray(theirs, dtype=np.int64).tolist())
+            out.append((row, *_split(lines, classified(lines, _shares(len(lines), owner, inherited), lambda x: _code(x) in known, _names(name)))))
+        yield pd.DataFrame(out, columns=["row_id", "new_text", "left_out"])
+
+
+def _beside_earlier(read: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row_id, hits, theirs) of rows of large conversations: hashes of their inherited runs, and of the lines of the mails that hit.
+
+    All by keys of many values (conversation and hash, row), so no task gathers a conversation.
+    """
+    placed = written(places(keys), "large-order")
+    by_id = placed.filter("id IS NOT NULL").groupBy("conversation_id", "id").agg(F.min("place").alias("_by_id"))
+    with_same = placed.join(read.select("row_id", "same"), "row_id")
+    by_text = with_same.groupBy("conversation_id", "same").agg(F.min("place").alias("_by_text"))
+    mails = written(with_same.join(by_id, ["conversation_id", "id"], "left").join(by_text, ["conversation_id", "same"]).select("conversation_id", "row_id", F.least("place", "_by_id", "_by_text").alias("mail")), "large-mails")
+    runs = read.select("row_id", "runs").join(mails, "row_id").select("conversation_id", "row_id", "mail", F.explode("runs").alias("run"))
+    firsts = runs.groupBy("conversation_id", "run").agg(F.min("mail").alias("first"), F.max("mail").alias("_last")).filter("first < _last").drop("_last")
+    hits = written(runs.join(firsts, ["conversation_id", "run"]).filter("first < mail").groupBy("conversation_id", "row_id").agg(F.collect_list("run").alias("hits"), F.collect_set("first").alias("sources")), "large-hits")
+    mine, theirs = mails.select("row_id", "mail"), mails.select(F.col("row_id").alias("ancestor_row"), F.col("mail").alias("_theirs"))
+    near = ancestors(keys).join(mine, "row_id").join(theirs, "ancestor_row").filter("_theirs < mail").select("row_id", "ancestor_row")
+    hit = hits.select("conversation_id", "row_id", F.explode("sources").alias("mail")).join(mails.withColumnRenamed("row_id", "ancestor_row"), ["conversation_id", "mail"]).select("row_id", "ancestor_row")
+    lines = near.unionByName(hit).distinct().join(read.select(F.col("row_id").alias("ancestor_row"), "lines"), "ancestor_row").groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("theirs"))
+    return hits.select("row_id", "hits").join(lines, "row_id")
+
+
 def with_new_text(messages: DataFrame, bodies: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(row_id, new_text, left_out) of each message: its newly written text and the kinds of what was left out.
 
@@ -362,8 +516,8 @@ def with_new_text(messages: DataFrame, bodies: DataFrame, largest: int = LARGEST
     as restored. Null and blank bodies have nothing left out; messages without conversation have no ancestor and are judged by
     marks alone; repeated deliveries are judged each by itself. row_id must be unique.
 
-    Bodies are shuffled once, by conversation. Conversations of more than ``largest`` messages never are: their messages meet
-    their ancestors' bodies in joins on unique keys, so no task gathers such a conversation.
+    Bodies are shuffled once, by conversation. Conversations of more than ``largest`` messages never are: hashes of their runs
+    meet in joins, so no task gathers such a conversation.
     """
     when = F.coalesce(F.timestamp_micros("utc_us"), F.col("ingested_at").cast("timestamp")).alias("when")
     named = F.col("conversation_id").isNotNull() & (F.col("conversation_id") != "")
@@ -374,15 +528,14 @@ def with_new_text(messages: DataFrame, bodies: DataFrame, largest: int = LARGEST
     cold = messages.filter(named).select(*keys, "text_body", "from_name").join(side, "conversation_id", "left_anti")
     small = cold.repartition("conversation_id").sortWithinPartitions("conversation_id", "when", "row_id").mapInPandas(_conversations, _OUT)
 
-    edges = ancestors(written(messages.filter(named).select(*keys).join(side, "conversation_id", "left_semi"), "large-keys"))
-    of_large = plain.filter("text_body IS NOT NULL").join(side, "conversation_id", "left_semi")
-    mine = of_large.select("row_id", "text_body", "from_name").join(edges, "row_id", "left")
-    pairs = mine.join(of_large.select(F.col("row_id").alias("ancestor_row"), F.col("text_body").alias("ancestor")), "ancestor_row", "left").select("row_id", "text_body", "from_name", "ancestor")
-    alone = bodies.filter(~named | F.col("conversation_id").isNull()).filter("text_body IS NOT NULL").select("row_id", "text_body", "from_name", F.lit(None).cast("string").alias("ancestor"))
+    keys_of_large = written(messages.filter(named).select(*keys).join(side, "conversation_id", "left_semi"), "large-keys")
+    read = written(plain.filter("text_body IS NOT NULL").join(side, "conversation_id", "left_semi").mapInPandas(_read, _READ), "large-bodies")
+    large = read.select("row_id", "text_body", "from_name").join(_beside_earlier(read, keys_of_large), "row_id", "left").mapInPandas(_judged, _OUT)
+    alone = bodies.filter(~named | F.col("conversation_id").isNull()).filter("text_body IS NOT NULL").select("row_id", "text_body", "from_name")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [_judged(row, mojibake.repair(text)[0], mojibake.repair(above)[0] if isinstance(above, str) else None, name) for row, text, name, above in batch.itertuples(index=False)]
+            out = [(row, *newly_written(mojibake.repair(text)[0], None, _names(name))) for row, text, name in batch.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["row_id", "new_text", "left_out"])
 
-    return small.unionByName(pairs.unionByName(alone).mapInPandas(judge, _OUT))
+    return small.unionByName(large).unionByName(alone.mapInPandas(judge, _OUT))

@@ -207,3 +207,18 @@ def test_masked_fields(spark):
     df = spark.createDataFrame([(1, "Write to a.b@c.example now.", None), (2, None, ""), (3, "Nothing here", "x")], "row_id bigint, text_body string, subject string")
     got = pii.tagged_fields(df, frozenset(), "row_id", ("text_body", "subject")).collect()
     assert [(r["row_id"], r["kinds"], r["clean_text"]) for r in got] == [(1, ["email"], "Write to [EMAIL] now.")]
+
+
+def test_new_text_beside_every_earlier_mail(spark):
+    """Text from two mails up, from another branch, and a second delivery; the same whether a conversation counts as large or not."""
+    first, branch = "the pump on level four was replaced by the night crew", "our second warehouse gets new scanners before the end of march"
+    rows = [
+        ("a", None, first, 1), ("b", "a", "Nothing of it is repeated here.", 2), ("c", "a", branch, 3), ("d", "b", f"Mine alone.\n{first}", 4), ("e", "b", f"Also mine.\n{branch}", 5),
+        ("a", None, first, 6), ("f", "g", f"Sent before its parent by a wrong clock.\n{first[::-1]} one two three four five six", 0), ("g", "a", f"{first[::-1]} one two three four five six", 7),
+    ]
+    stored = "row_id bigint, conversation_id string, msg_id string, in_reply_to string, utc_us bigint, ingested_at timestamp, text_body string, from_name string"
+    mails = spark.createDataFrame([(i, "k", f"<{m}@x>", p and f"<{p}@x>", t * 60_000_000, None, text, None) for i, (m, p, text, t) in enumerate(rows)], stored)
+    got = [{r["row_id"]: (r["new_text"], r["left_out"]) for r in nt.with_new_text(mails, mails.select("row_id", "conversation_id", "text_body", "from_name"), largest).collect()} for largest in (2000, 3)]
+    assert got[0] == got[1]
+    assert {i for i, (_, kinds) in got[0].items() if kinds} == {3, 4, 6}
+    assert got[0][3][0] == "Mine alone." and got[0][4][0] == "Also mine."
