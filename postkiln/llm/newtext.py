@@ -3,7 +3,8 @@
 Each mail is compared with all earlier mails of its conversation, of whatever branch: every run of LEAST_RUN words is hashed, an
 index holds the earliest mail of each hash, and a word is inherited where it lies in a run whose earliest mail is an earlier one.
 Mails stand in order of time, but never before the mail they answer; deliveries of one mail, and equal texts, are one mail.
-Inherited spans are removed, marked or not; the rest of a copy is recognised by the lines of the mails that hit.
+Where all mails have one sender, nobody's text is carried on and a sender repeats their own phrases (alerts): there only the named
+parent, else the mail before, is compared. Inherited spans are removed, marked or not; the rest of a copy is recognised by the lines of the mails that hit.
 Marks of quoting (prefixes, attributions, header blocks) name what came from mails that are no longer in the store. Signatures
 and notices are then looked for in what remains.
 """
@@ -398,7 +399,7 @@ def _in_place(rows: list[tuple], above: list[int | None]) -> list[int]:
 
 
 def _conversation(rows: list[tuple]) -> list[tuple]:
-    """The mails of a conversation, (row_id, id, parent, text_body, from_name) in order of time, each beside all earlier ones."""
+    """The mails of a conversation, (row_id, id, parent, text_body, from_name, sender) in order of time, each beside all earlier ones."""
     if not rows:
         return []
     bodies = [mojibake.repair(r[3])[0] if isinstance(r[3], str) else None for r in rows]
@@ -426,6 +427,7 @@ def _conversation(rows: list[tuple]) -> list[tuple]:
     of_mail: dict[int, list[int]] = {}
     for i, n in enumerate(mail):
         of_mail.setdefault(n, []).append(i)
+    alone = len({r[5] for r in rows if isinstance(r[5], str) and r[5]}) < 2
     known: dict[int, set[str]] = {}
 
     def lines_of(n: int) -> set[str]:
@@ -434,7 +436,7 @@ def _conversation(rows: list[tuple]) -> list[tuple]:
         return known[n]
 
     out, start = [], 0
-    for i, (row, key, _, _, name) in enumerate(rows):
+    for i, (row, key, _, _, name, _) in enumerate(rows):
         source = first[which[start : start + len(runs[i])]]
         start += len(runs[i])
         if read[i] is None:
@@ -443,8 +445,10 @@ def _conversation(rows: list[tuple]) -> list[tuple]:
         if up is None and i and not (isinstance(key, str) and key in rows[i - 1][1:3]):
             up = i - 1
         lines, owner, _ = read[i]
-        inherited = source < mail[i]
-        near = {int(n) for n in np.unique(source[inherited])} | ({mail[up]} if up is not None and mail[up] < mail[i] else set())
+        if up is not None and mail[up] >= mail[i]:
+            up = None
+        inherited = np.isin(runs[i], runs[up] if up is not None else _NO_HASHES) if alone else source < mail[i]
+        near = (set() if alone else {int(n) for n in np.unique(source[inherited])}) | (set() if up is None else {mail[up]})
         kind = classified(lines, _shares(len(lines), owner, inherited), lambda x: any(x in lines_of(n) for n in near), _names(name))
         out.append((row, *_split(lines, kind)))
     return out
@@ -454,7 +458,7 @@ def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Conversation after conversation of a partition sorted by conversation and time; only one is held."""
     current, rows, out = None, [], []
     for batch in batches:
-        for conversation, *rest in batch[["conversation_id", "row_id", "id", "parent", "text_body", "from_name"]].itertuples(index=False, name=None):
+        for conversation, *rest in batch[["conversation_id", "row_id", "id", "parent", "text_body", "from_name", "sender"]].itertuples(index=False, name=None):
             if conversation != current:
                 out += _conversation(rows)
                 current, rows = conversation, []
@@ -498,12 +502,16 @@ def _beside_earlier(read: DataFrame, keys: DataFrame) -> DataFrame:
     with_same = placed.join(read.select("row_id", "same"), "row_id")
     by_text = with_same.groupBy("conversation_id", "same").agg(F.min("place").alias("_by_text"))
     mails = written(with_same.join(by_id, ["conversation_id", "id"], "left").join(by_text, ["conversation_id", "same"]).select("conversation_id", "row_id", F.least("place", "_by_id", "_by_text").alias("mail")), "large-mails")
-    runs = read.select("row_id", "runs").join(mails, "row_id").select("conversation_id", "row_id", "mail", F.explode("runs").alias("run"))
+    talks = written(keys.groupBy("conversation_id").agg((F.min("sender") != F.max("sender")).alias("_talk")).filter("_talk").select("conversation_id"), "large-talks")
+    runs = read.select("row_id", "runs").join(mails.join(talks, "conversation_id", "left_semi"), "row_id").select("conversation_id", "row_id", "mail", F.explode("runs").alias("run"))
     firsts = runs.groupBy("conversation_id", "run").agg(F.min("mail").alias("first"), F.max("mail").alias("_last")).filter("first < _last").drop("_last")
-    hits = written(runs.join(firsts, ["conversation_id", "run"]).filter("first < mail").groupBy("conversation_id", "row_id").agg(F.collect_list("run").alias("hits"), F.collect_set("first").alias("sources")), "large-hits")
+    among = written(runs.join(firsts, ["conversation_id", "run"]).filter("first < mail").groupBy("conversation_id", "row_id").agg(F.collect_list("run").alias("hits"), F.collect_set("first").alias("sources")), "large-hits")
     mine, theirs = mails.select("row_id", "mail"), mails.select(F.col("row_id").alias("ancestor_row"), F.col("mail").alias("_theirs"))
     near = ancestors(keys).join(mine, "row_id").join(theirs, "ancestor_row").filter("_theirs < mail").select("row_id", "ancestor_row")
-    hit = hits.select("conversation_id", "row_id", F.explode("sources").alias("mail")).join(mails.withColumnRenamed("row_id", "ancestor_row"), ["conversation_id", "mail"]).select("row_id", "ancestor_row")
+    theirs_runs = read.select(F.col("row_id").alias("ancestor_row"), F.col("runs").alias("_runs"))
+    before = near.join(mails.join(talks, "conversation_id", "left_anti").select("row_id"), "row_id", "left_semi").join(read.select("row_id", "runs"), "row_id").join(theirs_runs, "ancestor_row")
+    hits = among.select("row_id", "hits").unionByName(before.select("row_id", F.array_intersect("runs", "_runs").alias("hits")))
+    hit = among.select("conversation_id", "row_id", F.explode("sources").alias("mail")).join(mails.withColumnRenamed("row_id", "ancestor_row"), ["conversation_id", "mail"]).select("row_id", "ancestor_row")
     lines = near.unionByName(hit).distinct().join(read.select(F.col("row_id").alias("ancestor_row"), "lines"), "ancestor_row").groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("theirs"))
     return hits.select("row_id", "hits").join(lines, "row_id")
 
@@ -511,7 +519,7 @@ def _beside_earlier(read: DataFrame, keys: DataFrame) -> DataFrame:
 def with_new_text(messages: DataFrame, bodies: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(row_id, new_text, left_out) of each message: its newly written text and the kinds of what was left out.
 
-    ``messages`` has utc_us, the instant of each mail or null (then its time of storage stands in); ``bodies`` is the plain table
+    ``messages`` has utc_us, the instant of each mail or null (then its time of storage stands in) and sender_email; ``bodies`` is the plain table
     (row_id, conversation_id, text_body, from_name), so that what needs no instants does not compute them. Garbled bodies are read
     as restored. Null and blank bodies have nothing left out; messages without conversation have no ancestor and are judged by
     marks alone; repeated deliveries are judged each by itself. row_id must be unique.
@@ -521,7 +529,8 @@ def with_new_text(messages: DataFrame, bodies: DataFrame, largest: int = LARGEST
     """
     when = F.coalesce(F.timestamp_micros("utc_us"), F.col("ingested_at").cast("timestamp")).alias("when")
     named = F.col("conversation_id").isNotNull() & (F.col("conversation_id") != "")
-    keys = ["conversation_id", "row_id", cleaned_id("msg_id").alias("id"), cleaned_id("in_reply_to").alias("parent"), when]
+    sender = F.nullif(F.lower(F.trim("sender_email")), F.lit("")).alias("sender")
+    keys = ["conversation_id", "row_id", sender, cleaned_id("msg_id").alias("id"), cleaned_id("in_reply_to").alias("parent"), when]
     plain = bodies.filter(named)
     sizes = written(plain.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > largest).select("conversation_id", F.lit(True).alias("_large")), "large-conversations")
     side = F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes

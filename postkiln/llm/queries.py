@@ -25,7 +25,7 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_new_text(spark: SparkSession, d: str) -> DataFrame:
     """The newly written text of every message that has a body, and the kinds of what was left out."""
-    columns = ("conversation_id", "msg_id", "in_reply_to", "ingested_at", "text_body", "from_name")
+    columns = ("conversation_id", "msg_id", "in_reply_to", "ingested_at", "sender_email", "text_body", "from_name")
     return newtext.with_new_text(message_instants(spark, d, *columns), table(spark, d, "messages", "row_id", "conversation_id", "text_body", "from_name"))
 
 

@@ -2,6 +2,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -216,9 +217,12 @@ def test_new_text_beside_every_earlier_mail(spark):
         ("a", None, first, 1), ("b", "a", "Nothing of it is repeated here.", 2), ("c", "a", branch, 3), ("d", "b", f"Mine alone.\n{first}", 4), ("e", "b", f"Also mine.\n{branch}", 5),
         ("a", None, first, 6), ("f", "g", f"Sent before its parent by a wrong clock.\n{first[::-1]} one two three four five six", 0), ("g", "a", f"{first[::-1]} one two three four five six", 7),
     ]
-    stored = "row_id bigint, conversation_id string, msg_id string, in_reply_to string, utc_us bigint, ingested_at timestamp, text_body string, from_name string"
-    mails = spark.createDataFrame([(i, "k", f"<{m}@x>", p and f"<{p}@x>", t * 60_000_000, None, text, None) for i, (m, p, text, t) in enumerate(rows)], stored)
+    stored = "row_id bigint, conversation_id string, msg_id string, in_reply_to string, utc_us bigint, ingested_at timestamp, sender_email string, text_body string, from_name string"
+    mails = spark.createDataFrame([(i, "k", f"<{m}@x>", p and f"<{p}@x>", t * 60_000_000, None, f"{m}@x", text, None) for i, (m, p, text, t) in enumerate(rows)], stored)
     got = [{r["row_id"]: (r["new_text"], r["left_out"]) for r in nt.with_new_text(mails, mails.select("row_id", "conversation_id", "text_body", "from_name"), largest).collect()} for largest in (2000, 3)]
     assert got[0] == got[1]
     assert {i for i, (_, kinds) in got[0].items() if kinds} == {3, 4, 6}
     assert got[0][3][0] == "Mine alone." and got[0][4][0] == "Also mine."
+    mails = mails.withColumn("sender_email", F.lit("alerts@x"))  # one sender repeats their own phrases
+    got = [{r["row_id"]: r["left_out"] for r in nt.with_new_text(mails, mails.select("row_id", "conversation_id", "text_body", "from_name"), largest).collect()} for largest in (2000, 3)]
+    assert got[0] == got[1] and {i for i, kinds in got[0].items() if kinds} == {6}
