@@ -61,12 +61,13 @@ def prioritised(threads: DataFrame, as_of: str) -> DataFrame:
     return threads.withColumn("priority", score + F.when(F.col("n_messages") > 10, 1.0).when(F.col("n_messages") > 5, 0.5).otherwise(0.0))
 
 
-def merged_threads(heads: DataFrame, thread: str, subject: str, text: str, rounds: int = 6) -> DataFrame:
+def merged_threads(heads: DataFrame, thread: str, subject: str, text: str) -> DataFrame:
     """(thread, merged_into): threads of one subject whose first texts share at least LIKE of their trigrams, joined in groups.
 
     Candidates are not all pairs of a subject: two sets that share LIKE of their trigrams share one among the first trigrams of
     each in the order of rarity (prefix filter), so only threads that meet in such a trigram are compared, exactly. Groups are
-    the connected components, found by passing on the least neighbour and looking twice as far each round.
+    the connected components: each class is hooked to the least class beside it and the hooks are followed by doubling, until no
+    class has a lesser one beside it. Every round at least halves the classes that can still be joined.
     """
     rows = heads.select(F.col(thread).alias("t"), subject_key(F.col(subject)).alias("s"), trigrams(F.col(text)).alias("g")).filter("s != '' AND size(g) > 0")
     # exact copies are one representative: they need no comparison
@@ -81,10 +82,16 @@ def merged_threads(heads: DataFrame, thread: str, subject: str, text: str, round
     checked = pairs.join(sets.select(F.col("rep").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("g").alias("gy")), "y").filter(jaccard(F.col("gx"), F.col("gy")) >= LIKE).select("x", "y")
     edges = written(checked.unionByName(checked.select(F.col("y").alias("x"), F.col("x").alias("y"))), "merge-edges")
     label = reps.select(F.col("rep").alias("x"), F.col("rep").alias("c"))
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("m"))
-        label = label.join(near, "x", "left").select("x", F.least("c", F.coalesce("m", "c")).alias("c"))
-        label = label.join(label.select(F.col("x").alias("c"), F.col("c").alias("cc")), "c").select("x", F.least("c", "cc").alias("c"))
-        label = written(label, "merge-labels")
+    while True:
+        across = edges.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").filter("d < c")
+        hooks = written(across.groupBy("c").agg(F.min("d").alias("up")), "merge-hooks")
+        if hooks.isEmpty():
+            break
+        while True:
+            further = hooks.select(F.col("c").alias("up"), F.col("up").alias("_next"))
+            if hooks.join(further, "up", "left_semi").isEmpty():
+                break
+            hooks = written(hooks.join(further, "up", "left").select("c", F.coalesce("_next", "up").alias("up")), "merge-hooks")
+        label = written(label.join(hooks, "c", "left").select("x", F.coalesce("up", "c").alias("c")), "merge-labels")
     member = rows.withColumn("h", F.xxhash64("s", F.array_sort("g"))).select("t", "s", "h").join(same.select("s", "h", "rep"), ["s", "h"])
     return member.join(label.select(F.col("x").alias("rep"), F.col("c").alias("merged_into")), "rep").select(F.col("t").alias(thread), "merged_into")

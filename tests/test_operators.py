@@ -100,6 +100,16 @@ def test_merged_threads_against_brute_force(spark):
     assert {t: root(t) for t in sets} == got
 
 
+def test_merged_threads_joins_a_long_chain(spark):
+    """Sixty heads of which only neighbours are alike, with shuffled names, are one class."""
+    text = "".join(chr(0x4E00 + i) for i in range(160))
+    names = [f"t{i:02}" for i in range(60)]
+    random.Random(3).shuffle(names)
+    heads = [(n, "S", text[i : i + 12]) for i, n in enumerate(names)]
+    got = {x["merged_into"] for x in threads.merged_threads(spark.createDataFrame(heads, "t string, s string, x string"), "t", "s", "x").collect()}
+    assert got == {"t00"}
+
+
 def test_actions_and_backing(spark):
     mails = spark.createDataFrame([(1, "Hello Bob. Could you review the plan by 01/15? We met today in the hall."), (2, None)], "k int, b string")
     got = actions.actions(mails, "k", "b", signals.mention_aliases(["bob@x.example"]))
