@@ -20,8 +20,6 @@ from postkiln.session import written
 RANGE_US = 6 * 3_600_000_000
 #: Votes: of a mention, and of the turn just before at no distance in time; least votes of a parent.
 MENTION, BEFORE, LEAST = 3.0, 1.0, 0.5
-#: Words of a turn that vote: the least hashes among its distinct long words, which two turns on one matter share.
-WORDS = 16
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -36,9 +34,9 @@ def turns(messages: DataFrame, owners: DataFrame) -> DataFrame:
     identifier or conversation are left out. Bodies are reduced here, before any shuffle, to what links need.
     """
     body = F.coalesce("text_body", F.lit(""))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.substring(body, 1, 4000)), F.lit(r"(\p{L}{5,})"), F.lit(1)))
-    hashed = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, WORDS)
-    mentioned = F.transform(F.array_distinct(F.regexp_extract_all(F.substring(body, 1, 120), F.lit(r"@?(\p{Lu}\p{Ll}{2,})"), F.lit(1))), lambda w: F.xxhash64(F.lit("name"), F.lower(w)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"(\p{L}{5,})"), F.lit(1)))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    mentioned = F.transform(F.array_distinct(F.regexp_extract_all(body, F.lit(r"@?(\p{Lu}\p{Ll}{2,})"), F.lit(1))), lambda w: F.xxhash64(F.lit("name"), F.lower(w)))
     speaker = F.lower(F.coalesce(_blank_to_null(F.col("sender_email")), _blank_to_null(F.col("from_email"))))
     own_name = F.transform(F.filter(F.split(F.lower(F.coalesce("from_name", F.lit(""))), r"[\s.\-]+"), lambda w: F.length(w) > 2), lambda w: F.xxhash64(F.lit("name"), w))
     narrow = messages.select("row_id", "batch_no", "msg_id", "mailbox_id", F.nullif(F.trim("conversation_id"), F.lit("")).alias("_trimmed"), "conversation_id", cleaned_id("in_reply_to").alias("reply_to"), "utc_us", speaker.alias("speaker"), F.coalesce(body.rlike(r"(?U)\S"), F.lit(False)).alias("has_body"), hashed.alias("words"), mentioned.alias("mentions"), own_name.alias("names"))

@@ -40,3 +40,16 @@ def test_likeliest_parent_by_shared_words(spark):
     assert parents["m3@x"] == "m1@x" and parents["m1@x"] is None
     roots = {r["msg_id"]: r["tree_id"] for r in tree_roots(links).collect()}
     assert roots["m3@x"] == "m1@x"
+
+
+def test_every_word_and_mention_votes(spark):
+    """Shared words after 4,000 characters, a few shared words of hundreds, and names after character 120 all link."""
+    minute, far = 60_000_000, "x y z " * 800
+    many = " ".join(a + b + c for a in ("alpha", "bravo", "delta", "gamma") for b in "abcdefghij" for c in "klmnopqrst")
+    rows = [
+        row(1, "f", None, 1 * minute, "me@x", far + "scanner firmware warehouse pallets inventory review"), row(2, "f", None, 2 * minute, "you@x", "calendar"), row(3, "f", None, 3 * minute, "you@x", far + "scanner firmware warehouse pallets inventory review"),
+        row(11, "w", None, 1 * minute, "me@x", many), row(12, "w", None, 2 * minute, "you@x", "calendar"), row(13, "w", None, 3 * minute, "you@x", "alphaak alphabl bravoak bravobl deltaak deltabl"),
+        row(21, "n", None, 1 * minute, "me@x", "one", name="Ada Quill"), row(22, "n", None, 2 * minute, "you@x", "two", name="Bo Tern"), row(23, "n", None, 3 * minute, "you@x", "a b c d " * 40 + "as Ada Quill said"),
+    ]
+    parents = {r["msg_id"]: r["parent_id"] for r in build(spark, rows).collect()}
+    assert (parents["m3@x"], parents["m13@x"], parents["m23@x"]) == ("m1@x", "m11@x", "m21@x")
