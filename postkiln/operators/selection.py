@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postkiln.functions import signals
@@ -119,13 +119,10 @@ def shrink(chosen: list[tuple[object, str, int, float]], tokens: int, keep: Quot
 def selected(df: DataFrame, group: str, key: str, thread: str, score: str, quotas: Quotas = Quotas(), shrink_to: int | None = None) -> DataFrame:
     """(group, key, bucket) of the evidence chosen for each group (a mailbox's run).
 
-    The choice is a fold in order of score over few rows: at most total + the quotas can enter, each thread at most per_thread,
-    so rows beyond the first ``per_thread`` of a thread are set aside natively before the fold, which reads one group at a time.
+    The choice is a fold in order of score over all rows of a group, without their texts: a row that does not fit the budget is
+    passed over, so any later row of its thread may enter.
     """
-    best = F.row_number().over(Window.partitionBy(group, thread).orderBy(F.col(score).desc(), key))
-    # beyond per_thread, only guaranteed or flagged rows can still displace: keep them too
-    narrow = df.select(group, key, thread, score, "token_count", "addressed_to_me", "n_dates", "sender_rank").withColumn("_r", best)
-    live = narrow.filter((F.col("_r") <= quotas.per_thread) | F.coalesce("addressed_to_me", F.lit(False)) | (F.col("n_dates") > 0) | (F.col("sender_rank") >= 2))
+    live = df.select(group, key, thread, score, "token_count", "addressed_to_me", "n_dates", "sender_rank")
     g_kind, k_kind = (df.schema[c].dataType.simpleString() for c in (group, key))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -169,3 +169,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == before
     fresh, mark = snapshots.after_watermark(rows, "ts", "2024-01-03 00:00:00", "INTERVAL 0 HOURS")
     assert fresh.count() == rows.filter("ts > '2024-01-03'").count() and mark.first()[0] is not None
+
+
+def test_selection_reaches_past_oversized_rows(spark):
+    """The fourth row of a thread enters where the first three do not fit the budget."""
+    rows = [(1, k, "t", 10.0 - k, 9000 if k < 3 else 100, False, 0, 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "g int, k int, t string, s double, token_count int, addressed_to_me boolean, n_dates int, sender_rank int")
+    assert [r["k"] for r in selection.selected(df, "g", "k", "t", "s").collect()] == [3]
