@@ -162,6 +162,13 @@ def lemma_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.groupBy("form").agg(F.count(F.lit(1)).alias("k")).join(forms, "form").groupBy("lemma").agg(F.sum("k").alias("n"))
 
 
+@query()
+def lemma_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """Lemmas of all tokens of documents; the forms of ``lemma_counts`` are the list of its SQL. Forms are counted before they are read."""
+    tokens = table(spark, d, "documents", "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("form"))
+    return tokens.groupBy("form").agg(F.count(F.lit(1)).alias("k")).groupBy(lemmas.lemma_of(F.col("form")).alias("lemma")).agg(F.sum("k").alias("n"))
+
+
 @query("""SELECT item_id, '- ' || trim(regexp_replace(title, '\\s+', ' ', 'g')) || chr(10) || '- ' || digest_date AS page_text FROM action_items WHERE trim(coalesce(title, '')) <> '' AND NOT regexp_matches(title, '[<>&\\x{a0}]')""")
 def html_lists(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "action_items", "item_id", "title", "digest_date").filter("trim(coalesce(title, '')) <> ''").filter(~F.col("title").rlike("[<>&\\x{a0}]"))

@@ -176,3 +176,17 @@ def test_selection_reaches_past_oversized_rows(spark):
     rows = [(1, k, "t", 10.0 - k, 9000 if k < 3 else 100, False, 0, 1) for k in range(4)]
     df = spark.createDataFrame(rows, "g int, k int, t string, s double, token_count int, addressed_to_me boolean, n_dates int, sender_rank int")
     assert [r["k"] for r in selection.selected(df, "g", "k", "t", "s").collect()] == [3]
+
+
+def test_lemmas_of_all_tokens(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    from postkiln.functions.lemmas import lemma
+    from postkiln.plans.text_queries import lemma_counts_all
+
+    texts = ["Review the test, reviewed and approved.", "Tests approve; проверьте письмо", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter(lemma(w) for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    assert {r["lemma"]: r["n"] for r in lemma_counts_all(spark, str(tmp_path)).collect()} == want
+    assert want["review"] == want["test"] == want["approve"] == 2
