@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postkiln.llm import conversations, mixing, mojibake, newtext, pii, spans, split, tokens
 from postkiln.plans.core_queries import message_instants
-from postkiln.session import shared_dir, written
+from postkiln.session import written
 from postkiln.sources.tables import table
 
 TEXT_FIELDS = ("text_body", "subject")
@@ -37,18 +37,18 @@ _CHAT = ("batch_no", "msg_id", "conversation_id", "in_reply_to", "sender_email",
 
 
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of every whole conversation with role and likeliest parent."""
-    return conversations.linked_turns(message_instants(spark, d, *_CHAT), table(spark, d, "mailboxes"))
+    """Turns of every whole conversation with role, likeliest parent and the first turn of their link tree."""
+    return conversations.linked_turns(message_instants(spark, d, *_CHAT), table(spark, d, "mailboxes"), table(spark, d, "messages", "row_id", "conversation_id", "text_body", "from_name"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The turns, of the rows that went through the links."""
     return p4_turns(spark, d).select("conversation_id", "turn_no", "msg_id")
 
 
 def p4_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with the first turn of their link tree."""
-    shared_dir(spark)
-    return conversations.tree_roots(written(p4_turns(spark, d), "p4-turns"))
+    """(conversation_id, tree_id, first_turn, n_turns, n_speakers) of each link tree."""
+    return p4_turns(spark, d).groupBy("conversation_id", "tree_id").agg(F.min("turn_no").alias("first_turn"), F.count(F.lit(1)).alias("n_turns"), F.count_distinct("speaker").alias("n_speakers"))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
