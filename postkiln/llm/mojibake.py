@@ -28,7 +28,6 @@ ONE_BYTE = (
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac-roman", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"),
     ("cp1252", "mac-roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("latin-1", "cp850"), ("latin-1", "mac-roman"),
 )
-MAX_LAYERS = 4
 
 # Share of each letter in Russian text, in thousandths.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4, 4)))
@@ -37,7 +36,7 @@ LETTERS = "äöüßÄÖÜáàâãçéêíóôõúÁÀÂÃÇÉÊÍÓÔÕÚñÑ"
 #: Signs that clean mail uses now and then.
 SIGNS = "«»“”„‘’‚‹›–—…•·€£¥¢§©®™°±²³¼½¾№×÷≈≤≥→←↑↓✓✔✅⚠☎☺\xa0  ​‍️¿¡ºª¹"
 
-_SAFE = frozenset(map(chr, range(128))) | frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ") | frozenset(LETTERS) - {"Ñ"} | frozenset(SIGNS) | frozenset("👩🔧📦🇧🇷") | {"\u0301", "\u0303", "\u0308"}
+_SAFE = frozenset(map(chr, range(128))) | frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ") | frozenset(LETTERS) - {"Ñ"} | frozenset(SIGNS) | {"\u0301", "\u0303", "\u0308"}
 _CYRILLIC_CAPITALS = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _LEADS, _ACCENTS = frozenset("ÂÃâãÔ"), frozenset(LETTERS)
 _TURNED = re.compile("[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]")
@@ -49,14 +48,15 @@ _SIGN_INSIDE = re.compile("[^\\W\\d_][¡¢£¥§©®°±²³¼½¾×÷‚„‘
 def suspicious(text: str) -> bool:
     """Whether a text may hold garbled parts: true for every text that ``repair`` would change, and for some clean ones.
 
-    Most texts are settled by their set of characters: controls, boxes, letters of neighbouring alphabets and typesetting signs
-    that the four languages do not use. The rest is looked through for turned case, mixed alphabets, a lead byte with a sign
+    Most texts are settled by their set of characters: those that a legacy encoding can produce and the four languages do not use
+    (controls, boxes, letters of neighbouring alphabets, typesetting signs). Characters that no such encoding has, emoji among
+    them, are no sign of a wrong one. The rest is looked through for turned case, mixed alphabets, a lead byte with a sign
     after it, and accents or signs in odd places.
     """
     if text.isascii():
         return False
     used = set(text)
-    if not used <= _SAFE:
+    if not used.isdisjoint(_ODD):
         return True
     if not used.isdisjoint(_CYRILLIC_CAPITALS) and _TURNED.search(text):
         return True
@@ -85,6 +85,7 @@ def _table(name: str) -> dict[str, int]:
 _ENCODE = {name: {ord(c): b for c, b in _table(name).items()} for name in dict.fromkeys((*READ_AS, *(a for a, _ in ONE_BYTE)))}
 _ASCII = {i: i for i in range(128)}
 _ENCODE = {name: _ASCII | table for name, table in _ENCODE.items()}
+_ODD = frozenset(chr(o) for table in _ENCODE.values() for o in table) - _SAFE | {"\ufffd"}
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -128,6 +129,8 @@ def _char_cost(c: str) -> float:
         return 0.5
     if 0xC0 <= o <= 0x24F:
         return 1.8
+    if c.isalpha() and o >= 0x500:
+        return 6.0  # a letter of another script, which chance makes of two letters
     return 2.6
 
 
@@ -191,8 +194,8 @@ def _utf8_runs(text: str, name: str) -> str:
     return _UTF8[name].sub(lambda m: codecs.charmap_encode(m.group(), "strict", table)[0].decode("utf-8"), text)
 
 
-#: Candidates in the order in which they last helped; the neighbours of a garbled segment are mostly garbled in the same way.
-_recent: list[tuple[str, str]] = [*((name, "utf-8") for name in READ_AS), *ONE_BYTE]
+#: Candidates in a fixed order; of equal drops the first wins.
+_CANDIDATES: tuple[tuple[str, str], ...] = (*((name, "utf-8") for name in READ_AS), *ONE_BYTE)
 
 
 def _below(text: str, read: str, meant: str) -> str | None:
@@ -206,54 +209,48 @@ def _below(text: str, read: str, meant: str) -> str | None:
 
 
 @lru_cache(maxsize=20_000)
-def _best_step(text: str) -> tuple[str, float]:
-    """The cheapest text one layer below, with the drop of the cost; the text itself and 0 where nothing drops enough.
-
-    A candidate that leaves almost no cost is taken at once; otherwise all are tried and the largest drop wins.
-    """
+def _steps(text: str) -> tuple[tuple[float, int, str], ...]:
+    """(drop of the cost, number of the candidate, text one layer below) of every candidate by which the cost drops enough."""
     now = cost(text)
     if now <= 0.6:
-        return text, 0.0
-    best, drop = text, 0.0
-    for candidate in list(_recent):
-        fixed = _below(text, *candidate)
+        return ()
+    out = []
+    for n, (read, meant) in enumerate(_CANDIDATES):
+        fixed = _below(text, read, meant)
         if fixed is None or fixed == text:
             continue
-        left = cost(fixed)
-        strict = candidate[1] == "utf-8"
-        gain = now - left + 0.5 * strict  # valid UTF-8 is strong evidence by itself
-        if gain >= (0.6 if strict else 1.4) and gain > drop + 1e-9:
-            best, drop, by = fixed, gain, candidate
-            if now > 6 and left < 0.12 * now:
-                break
-    if drop and now > 6:
-        _recent.remove(by)
-        _recent.insert(0, by)
-    return best, drop
+        strict = meant == "utf-8"
+        gain = now - cost(fixed) + 0.5 * strict  # valid UTF-8 is strong evidence by itself
+        if gain >= (0.6 if strict else 1.4):
+            out.append((round(gain, 6), n, fixed))
+    return tuple(out)
+
+
+def _one_layer(text: str) -> str:
+    """The text with one layer undone in each segment where that lowers the cost. The largest drop of a segment wins; of equal
+    drops that of the candidate which helps most in the whole text, then the first in the fixed order. So a text is restored
+    alike whatever stands beside it."""
+    segments = [(segment, _steps(segment) if segment and suspicious(segment) else ()) for segment in _SEGMENT.findall(text)]
+    helped: dict[int, float] = {}
+    for _, steps in segments:
+        for gain, n, _ in steps:
+            helped[n] = helped.get(n, 0.0) + gain
+    return "".join(max(steps, key=lambda s: (s[0], helped[s[1]], -s[1]))[2] if steps else segment for segment, steps in segments)
 
 
 def repair(text: str | None) -> tuple[str | None, bool, bool]:
     """(text with garbled parts restored, whether any part was garbled, whether everything could be restored).
 
     Works segment by segment (sentences, lines): ASCII is the same in all these encodings, so their bounds are never garbled.
-    Lost characters (U+FFFD) are garbled and stay. Null stays null, empty stays empty; both are clean.
+    Lost characters (U+FFFD) are garbled and stay. Layers are undone as long as the cost drops; every step lowers it by a tenth
+    at least, so this ends. Null stays null, empty stays empty; both are clean.
     """
     if not text or not suspicious(text):
         return text, False, True
-    changed = False
-    whole = text
-    for _ in range(MAX_LAYERS):
-        parts, any_change = [], False
-        for segment in _SEGMENT.findall(whole):
-            if segment and suspicious(segment):
-                fixed, drop = _best_step(segment)
-                if drop > 0:
-                    any_change = True
-                    segment = fixed
-            parts.append(segment)
-        if not any_change:
-            break
-        whole, changed = "".join(parts), True
+    whole = _one_layer(text)
+    changed = whole != text
+    while changed and (below := _one_layer(whole)) != whole:
+        whole = below
     lost = "\ufffd" in whole
     return whole, changed or lost, not lost
 

@@ -300,11 +300,15 @@ class Tagger:
 
 def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]:
     """The item without signs at its ends that belong to the sentence."""
-    if kind == "email" and "@" in text[start:end]:  # the whole of an address that the field found in part
+    if kind == "email" and (sign := text.find("@", start, end)) >= 0:  # the whole of an address that the field found in part
         while start and (text[start - 1].isalnum() or text[start - 1] in "._+-'"):
             start -= 1
         while end < len(text) and text[end].isalnum():
             end += 1
+        if sign and sign + 1 < end and not text[sign - 1].isspace() and not text[sign + 1].isspace():  # and no word beside it
+            while end > sign and any(c.isspace() for c in text[sign:end]):
+                end -= 1
+            start = max([start, *(i + 1 for i in range(start, sign) if text[i].isspace())])
     keep_open = "+(" if kind == "phone" else ""
     while start < end and text[start] in "<>|»:;,.!?\"'*[]() -_" and text[start] not in keep_open:
         start += 1
