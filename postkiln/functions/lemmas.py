@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +51,25 @@ def lemma(token: str, custom: dict[str, str] | None = None) -> str:
     return w
 
 
+_lemma = lru_cache(maxsize=200_000)(lemma)
+
+
 @F.pandas_udf(T.StringType())
 def lemma_of(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: lemma(t) if isinstance(t, str) else None)
+    return tokens.map(lambda t: _lemma(t) if isinstance(t, str) else None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lemmas_of_phrase(phrases: pd.Series) -> pd.Series:
+    """Lemmas of the words of a phrase, in order, without their punctuation."""
+    return phrases.map(lambda p: [_lemma(w) for w in (re.sub(r"[^\w\s-]", "", t) for t in p.split()) if w] if isinstance(p, str) else None)
+
+
+def known_forms(tokens: DataFrame, form: str) -> DataFrame:
+    """(lemma, forms, n): of each known base form, the forms that a column of tokens holds and how often. Tokens are counted
+    before they are read, and forms of a base are few by grammar."""
+    counted = tokens.groupBy(F.lower(form).alias("form")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("lemma", lemma_of(F.col("form"))).filter(F.col("lemma").isin(*EN_BASE, *RU_BASE)).groupBy("lemma").agg(F.sort_array(F.collect_set("form")).alias("forms"), F.sum("n").alias("n"))
 
 
 def lemma_table(spark: SparkSession, forms: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ NEGATIVE = r"(?iu)(?:\b(?:noreply@|no-reply@|donotreply@)|\b(?:unsubscribe|от
 DOCUMENT_TYPES = ["pdf", "doc", "docx", "xlsx", "xls", "ppt", "pptx"]
 # Imperative and request patterns, question words and deadlines of the sentence extractor.
 IMPERATIVE_EN = r"(?i)\b(?:please|could you|can you|would you|will you|need you to|want you to|asking you to|request you to|make sure|ensure|verify|confirm|check|review|approve|sign off|validate|examine|send|provide|submit|deliver|share|update|fix|correct|change|modify|complete|finish|finalize|wrap up|prepare|create|draft|develop)\b"
-IMPERATIVE_RU = r"(?iuU)\b(?:сделай(?:те)?|проверь(?:те)?|подготовь(?:те)?|отправь(?:те)?|согласуй(?:те)?|подтверди(?:те)?|обнови(?:те)?|заверши(?:те)?|утверди(?:те)?|ответь(?:те)?|уточни(?:те)?|подскажи(?:те)?|направь(?:те)?)\b"
+IMPERATIVE_RU = r"(?iuU)\b(?:сделай(?:те)?|выполни(?:те)?|проверь(?:те)?|отправь(?:те)?|пришли(?:те)?|подготовь(?:те)?|согласуй(?:те)?|утверди(?:те)?|одобри(?:те)?|посмотри(?:те)?|изучи(?:те)?|рассмотри(?:те)?|оцени(?:те)?|ответь(?:те)?|напиши(?:те)?|сообщи(?:те)?|уведоми(?:те)?|передай(?:те)?|дай(?:те)?|предоставь(?:те)?|подай(?:те)?|исправь(?:те)?|поправь(?:те)?|обнови(?:те)?|измени(?:те)?|завершите?|закончите?|доделай(?:те)?|финализируй(?:те)?)"
 MARKER_RU = r"(?iuU)\b(?:нужно|необходимо|требуется|надо|прошу|можешь|можете|сможешь|сможете|давай(?:те)?)\s+|\bпожалуйста\s*[,:]"
 MARKER_EN = r"(?i)\bneed to\s+|\bneed\b.{0,40}\bto\b|\bhave to\s+|\bmust\s+|\bshould\s+|\bplease\s+"
 QUESTION = r"(?iuU)\?|\b(?:когда|где|как|что|кто|почему|зачем)\b|\b(?:можно|возможно|получится)\s+ли\b|\b(?:what|when|where|how|who|why|which)\b|\b(?:can|could|would|will|should|is|are|do|does)\s+"
@@ -73,7 +73,7 @@ def is_negative(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of at least ten characters: after a closing sign before a capital, or at a line's end."""
+    """Sentences of at least ten characters: they end with a closing sign before a capital, or with one at a line's end."""
     return F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-ZА-ЯЁ])|(?<=[.!?])\n+"), lambda s: F.char_length(F.trim(s)) >= 10)
 
 

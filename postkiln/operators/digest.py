@@ -67,6 +67,48 @@ def as_json(items: DataFrame, group: str) -> DataFrame:
     return items.groupBy(group).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))).alias("digest"))
 
 
+#: The written form of a digest.
+DOCUMENT = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("schema_version", "prompt_version", "digest_date", "trace_id")],
+    T.StructField("sections", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("items", T.ArrayType(T.StructType([
+        *[T.StructField(n, T.StringType()) for n in ("title", "due", "evidence_id")], T.StructField("confidence", T.DoubleType()), T.StructField("source_ref", T.MapType(T.StringType(), T.StringType())), T.StructField("email_subject", T.StringType()),
+    ])))]))),
+    T.StructField("total_emails_processed", T.LongType()), T.StructField("emails_with_actions", T.LongType()),
+])
+
+
+def schema_description() -> str:
+    """The written form of a digest, as JSON."""
+    return DOCUMENT.json()
+
+
+def read_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """documents with digest, the parsed document or null, and problem: the first reason for which it is not of the written form.
+
+    The four head fields are not empty, the date is a day, sections and items have titles, items have evidence, a confidence
+    from 0 to 1 and a source_ref with a type. Null texts do not parse.
+    """
+    d = F.from_json(F.col(text), DOCUMENT)
+    out = documents.withColumn("digest", d)
+    c = F.col("digest")
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+    sections = F.coalesce(c["sections"], F.array().cast(DOCUMENT["sections"].dataType))
+    bad_item = lambda i: blank(i["title"]) | blank(i["evidence_id"]) | ~F.coalesce(i["confidence"].between(0, 1), F.lit(False)) | ~F.coalesce(F.map_contains_key(i["source_ref"], F.lit("type")), F.lit(False))
+    problem = (
+        F.when(c.isNull() | (c["schema_version"].isNull() & c["sections"].isNull() & c["digest_date"].isNull()), "not a digest").when(blank(c["schema_version"]) | blank(c["prompt_version"]), "version missing").when(blank(c["digest_date"]) | blank(c["trace_id"]), "date or trace missing")
+        .when(~c["digest_date"].rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_timestamp(c["digest_date"], F.lit("yyyy-MM-dd")).isNull(), "date form").when(c["sections"].isNull(), "sections missing")
+        .when(F.exists(sections, lambda s: blank(s["title"]) | s["items"].isNull()), "section").when(F.exists(sections, lambda s: F.exists(F.coalesce(s["items"], F.array().cast(DOCUMENT["sections"].dataType.elementType["items"].dataType)), bad_item)), "item")
+    )
+    return out.withColumn("problem", problem)
+
+
+def without_empty_sections(sections: Column) -> Column:
+    """The sections of a digest that have items, in the fixed order of sections, then by title."""
+    filled = F.filter(sections, lambda s: F.coalesce(F.size(s["items"]), F.lit(0)) > 0)
+    place = lambda s: F.struct(section_place(s["title"]), F.coalesce(s["title"], F.lit("")))
+    return F.array_sort(filled, lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0))
+
+
 def message_parts(text: str, limit: int = 16383) -> list[str]:
     """A long report in parts of at most ``limit`` characters, each with its number: cut at blank lines, then lines, then anywhere."""
     if len(text) <= limit:

@@ -47,4 +47,34 @@ def graded(items: DataFrame, found: DataFrame, digest: str, key: str) -> DataFra
     grade = F.lit("D")
     for least, name in reversed(GRADES):
         grade = F.when(F.col("score") >= least, name).otherwise(grade)
-    return out.withColumn("grade", grade).drop("bad_items")
+    return out.withColumn("grade", grade).withColumn("quality_rate", F.round(F.try_divide("clean_items", "n_items"), 3)).drop("bad_items")
+
+
+def section_counts(items: DataFrame, digest: str, section: str) -> DataFrame:
+    """(digest, section, n_items) of each section that has items."""
+    return items.groupBy(digest, section).agg(F.count(F.lit(1)).alias("n_items"))
+
+
+def section_issues(sections: DataFrame, digest: str, section: str, place: str, known: list[str]) -> DataFrame:
+    """(digest, section, severity, check) of sections (digest, section, place, n_items) that are unknown, empty or repeated."""
+    firsts = sections.groupBy(digest, section).agg(F.min(place).alias("_first"))
+    joined = sections.join(firsts, [digest, section])
+    faults = F.array_compact(F.array(
+        _issue(~F.col(section).isin(*known), "warn", "section unknown"), _issue(F.coalesce(F.col("n_items"), F.lit(0)) == 0, "warn", "section empty"), _issue(F.col(place) > F.col("_first"), "warn", "section repeated"),
+    ))
+    return joined.select(digest, section, F.inline(faults))
+
+
+def snapshot_evidence(snapshots: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, evidence_id, form): the identifiers that a snapshot (a JSON document) names, in the first form that it has.
+
+    A list under evidence_ids, chunks with evidence_id, the texts sent to a model (ID: ev-...), and last the items of its replies.
+    """
+    doc = F.from_json(F.col(document), "evidence_ids array<string>, chunks array<struct<evidence_id:string>>, responses array<struct<messages:array<struct<content:string>>,data:struct<sections:array<struct<items:array<struct<evidence_id:string>>>>>>>")
+    some = lambda a: F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    listed = some(doc["evidence_ids"])
+    chunks = some(F.transform(doc["chunks"], lambda c: c["evidence_id"]))
+    sent = some(F.flatten(F.transform(doc["responses"], lambda r: F.flatten(F.transform(F.filter(F.coalesce(r["messages"], F.array().cast("array<struct<content:string>>")), lambda m: m["content"].isNotNull()), lambda m: F.regexp_extract_all(m["content"], F.lit(r"\bID:\s*(ev-[a-f0-9-]+)"), F.lit(1)))))))
+    replied = some(F.flatten(F.transform(F.filter(doc["responses"], lambda r: r["data"]["sections"].isNotNull()), lambda r: F.flatten(F.transform(F.filter(r["data"]["sections"], lambda s: s["items"].isNotNull()), lambda s: F.transform(s["items"], lambda i: i["evidence_id"]))))))
+    forms = F.coalesce(*[F.when(F.size(a) > 0, F.struct(F.array_distinct(a).alias("ids"), F.lit(n).alias("form"))) for a, n in ((listed, "list"), (chunks, "chunks"), (sent, "prompt"), (replied, "reply"))])
+    return snapshots.select(key, forms.alias("_f")).filter("_f IS NOT NULL").select(key, F.explode("_f.ids").alias("evidence_id"), F.col("_f.form").alias("form"))

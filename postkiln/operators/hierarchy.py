@@ -42,3 +42,31 @@ def thread_text(picked: DataFrame, thread: str, order: str, content: str, snippe
     """(thread, prompt): the chosen chunks of a thread in order, each cut to a snippet; at most MOST chunks, so the list is bounded."""
     line = F.concat(F.lit("- "), F.substring(F.regexp_replace(content, r"\s+", " "), 1, snippet))
     return picked.groupBy(thread).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
+
+
+def averages(threads: DataFrame, summarised: str, tokens: str) -> DataFrame:
+    """One row: threads summarised and passed by, mean tokens of the summarised, tokens in all."""
+    on = F.coalesce(F.col(summarised), F.lit(False))
+    return threads.agg(F.sum(F.when(on, 1).otherwise(0)).alias("threads_summarized"), F.sum(F.when(on, 0).otherwise(1)).alias("threads_skipped_small"), F.round(F.coalesce(F.avg(F.when(on, F.col(tokens))), F.lit(0.0)), 6).alias("per_thread_avg_tokens"), F.coalesce(F.sum(F.when(on, F.col(tokens)).otherwise(0)), F.lit(0)).alias("final_input_tokens"))
+
+
+def combined(summaries: DataFrame, small: DataFrame, run: str, thread: str, tokens: str, budget: int = 4000, top: int = 3) -> DataFrame:
+    """What the last call of a run reads: (run, thread, kind, place, tokens, kept) of thread summaries and of the chunks of small
+    threads, within a budget.
+
+    summaries: run, thread, score, tokens. small: run, thread, key, score, tokens. Summaries come first, best first, then the
+    ``top`` chunks of each small thread; the longest prefix within the budget is kept. Summaries of a run are as many as its
+    threads and its small threads give ``top`` rows each, so a row_number limit bounds what is sorted.
+    """
+    best = Window.partitionBy(run, thread).orderBy(F.col("score").desc_nulls_last(), "key")
+    few = small.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top).select(run, thread, F.lit("chunk").alias("kind"), "score", F.col("_r"), F.col(tokens).alias("tokens"))
+    rows = summaries.select(run, thread, F.lit("summary").alias("kind"), "score", F.lit(0).alias("_r"), F.col(tokens).alias("tokens")).unionByName(few)
+    order = Window.partitionBy(run).orderBy(F.col("kind").desc(), F.col("score").desc_nulls_last(), thread, "_r")
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("_sum", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.select(run, thread, "kind", "place", "tokens", (F.col("_sum") <= budget).alias("kept"))
+
+
+def snippets(chunks: DataFrame, thread: str, key: str, score: str, content: str, most: int = 5, length: int = 150) -> DataFrame:
+    """(thread, place, key, snippet): the beginnings of the best chunks of each thread."""
+    w = Window.partitionBy(thread).orderBy(F.col(score).desc_nulls_last(), key)
+    return chunks.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select(thread, "place", key, F.substring(content, 1, length).alias("snippet"))

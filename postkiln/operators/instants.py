@@ -16,14 +16,13 @@ def normalise_instants(rows: DataFrame, text: str, zones: DataFrame, key: str, z
 
     The default zone and the locale are looked up in ``zones`` by ``key`` (unique there; Spark broadcasts it only while it is
     small). Rows whose key is null or unknown keep their instants with offsets; their wall-clock times are null. Columns of
-    ``zones`` do not enter the result, so clashing names do no harm. Null, empty and overlong texts give null; an empty table
+    ``zones`` do not enter the result, so clashing names do no harm. Null and empty texts give null, and texts of
+    any length that no anchored pattern matches; an empty table
     gives no rows; repeated rows stay repeated.
     """
     side = zones.select(F.col(key).alias("_zone_key"), F.col(zone).alias("_zone"), F.col(locale).alias("_locale"))
     joined = rows.join(side, rows[key] == F.col("_zone_key"), "left")
-    # no format is longer than 120 characters; longer texts are not tried
-    short = F.when(F.length(F.col(text)) <= 120, F.col(text))
-    timed = with_instant(joined, short, F.col("_zone"), F.col("_locale"), F.col(base_date) if base_date else None, name, ambiguous, nonexistent)
+    timed = with_instant(joined, F.col(text), F.col("_zone"), F.col("_locale"), F.col(base_date) if base_date else None, name, ambiguous, nonexistent)
     return timed.drop("_zone_key", "_zone", "_locale")
 
 

@@ -56,6 +56,27 @@ def item_score(features: dict[str, Column], weights: dict[str, float] = WEIGHTS)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
 
+def any_alias(recipients: Column, aliases: list[str]) -> Column:
+    """Whether one of the aliases stands in one of the recipients (as a part of it)."""
+    return F.coalesce(F.exists(recipients, lambda r: F.greatest(*[F.lower(r).contains(a.lower()) for a in aliases], F.lit(False))), F.lit(False)) if aliases else F.lit(False)
+
+
+def features(c: dict[str, Column], aliases: list[str], important: list[str]) -> dict[str, Column]:
+    """The ten features of an item: c holds found (whether its evidence is known), to, cc, title, kind ('item', 'action', 'mention' or
+    another typed item), text (description or quote of typed items), due, sender, n_thread (chunks of the thread), hours_old,
+    has_attachments, subject. Without known evidence an item has no features at all."""
+    found = F.coalesce(c["found"], F.lit(False))
+    on = lambda x: found & F.coalesce(x, F.lit(False))
+    value = lambda x: F.when(found, x).otherwise(0.0)
+    to = any_alias(c["to"], aliases)
+    acts = F.when(c["kind"] == "item", has_marker(c["title"])).when(c["kind"] == "action", True).when(c["kind"] == "mention", False).otherwise(has_marker(c["text"]))
+    return {
+        "user_in_to": on(to), "user_in_cc": on(~to & any_alias(c["cc"], aliases)), "has_action": on(acts), "has_mention": on(c["kind"] == "mention"), "has_due_date": on(F.coalesce(c["due"], F.lit("")) != ""),
+        "sender_importance": value(F.coalesce(F.when(F.coalesce(c["sender"], F.lit("")) != "", sender_importance(c["sender"], important)), F.lit(0.5))), "thread_length": value(F.least(F.coalesce(c["n_thread"], F.lit(1)) / 10.0, F.lit(1.0))),
+        "recency": value(F.greatest(F.lit(0.0), 1 - F.coalesce(c["hours_old"], F.lit(24.0)) / 48.0)), "has_attachments": on(c["has_attachments"]), "has_project_tag": on(has_project_tag(c["subject"])),
+    }
+
+
 def ranked(items: DataFrame, section: str, score: str, key: str) -> DataFrame:
     """Items with their place within the section, from 1."""
     return items.withColumn("place", F.row_number().over(Window.partitionBy(section).orderBy(F.col(score).desc_nulls_last(), key)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postkiln.functions.text import jaccard, subject_key, trigrams
+from postkiln.operators.skew import ranked_by_range
 from postkiln.session import written
 
 #: Messages kept per thread, and least trigram overlap of two threads with one subject that are merged.
@@ -53,6 +54,48 @@ def latest_of_thread(messages: DataFrame, key: str, at: str, tie: str, most: int
     return messages.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def recent(threads: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
+    """Threads whose latest message is at most so many hours old."""
+    return threads.filter(F.col("latest").cast("timestamp") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS"))
+
+
+def by_latest(threads: DataFrame, thread: str) -> DataFrame:
+    """Threads in order of their latest message, newest first, with their place; a range-partitioned sort of the whole table, so
+    places are counted over ranges instead of one task."""
+    shifted = threads.withColumn("_neg", -F.unix_micros(F.col("latest").cast("timestamp"))).withColumn("_all", F.lit(0))
+    day = F.coalesce(F.floor(F.col("_neg") / 86_400_000_000), F.lit(2**62)).cast("bigint")
+    return ranked_by_range(shifted.withColumn("_day", day), "_all", "_day", [F.col("_neg").asc_nulls_last(), F.col(thread)], "place").drop("_neg", "_all", "_day")
+
+
+def with_chunk_counts(threads: DataFrame, chunks: DataFrame, thread: str) -> DataFrame:
+    """threads with n_chunks, 0 for those without evidence."""
+    counts = chunks.groupBy(thread).agg(F.count(F.lit(1)).alias("n_chunks"))
+    return threads.join(counts, thread, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
+def latest_by_id(messages: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """(key, columns) of the last row of each identifier in ``order``; rows without identifier are left out. An aggregate, so
+    repeated identifiers are put together before the shuffle."""
+    last = F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")
+    return messages.filter(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "_last.*")
+
+
+def participants(messages: DataFrame, key: str, sender: str, to: str, cc: str) -> DataFrame:
+    """(thread, participant, roles): everyone who wrote or received a message of a thread, once, and as what. One row each, so the
+    people of a thread of any size are never gathered."""
+    people = F.concat(F.array(F.struct(F.col(sender).alias("who"), F.lit("from").alias("as"))), *[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, n=n: F.struct(x.alias("who"), F.lit(n).alias("as"))) for c, n in ((to, "to"), (cc, "cc"))])
+    rows = messages.select(key, F.inline(people)).select(key, F.nullif(F.lower(F.trim("who")), F.lit("")).alias("participant"), "as").filter("participant IS NOT NULL")
+    return rows.groupBy(key, "participant").agg(F.array_join(F.sort_array(F.collect_set("as")), "|").alias("roles"))
+
+
+def thread_statistics(messages: DataFrame, thread: str, body: str) -> DataFrame:
+    """One row: messages, distinct bodies, threads by the kind of their key, and threads of more than one message."""
+    per = messages.groupBy(thread).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.substring_index(thread, "_", 1)
+    shapes = per.agg(F.count(F.lit(1)).alias("threads"), *[F.sum(F.when(kind == k, 1).otherwise(0)).alias(f"by_{k}") for k in ("conv", "subj", "single")], F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("with_replies"))
+    return redundancy(messages, body).select(F.col("n_rows").alias("messages"), F.col("n_unique").alias("unique_bodies")).crossJoin(F.broadcast(shapes))  # one row each
+
+
 def prioritised(threads: DataFrame, as_of: str) -> DataFrame:
     """Threads with a priority from recency, participants and messages."""
     hours = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("latest").cast("timestamp"))) / 3600

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +30,46 @@ def build_session(app: str = "postkiln", master: str | None = None, shuffle_part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a temporary folder serves a local
+    master (tests); on a cluster, whose executors would each write to their own disk, it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder is None and current.isDefined():
+        folder = current.get()
     if folder is None:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="postkiln-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="postkiln-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_written: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this session, once the results that read them are stored; returns how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """A block within which results are computed and stored; the intermediate tables are deleted behind it, also after a failure."""
+    try:
+        yield
+    finally:
+        remove_written(spark)

@@ -1,4 +1,4 @@
-"""Sources and sinks: message snapshots, recorded replies, digests, run metadata, watermarks and changelogs."""
+"""Sources and sinks of messages: snapshots with their bad records, windows, watermarks, recorded replies and changelogs."""
 
 from __future__ import annotations
 
@@ -14,17 +14,31 @@ MESSAGE = T.StructType([
 ])
 
 
+#: A record of a snapshot file as it is read: the fields of a message, those that older files have instead, and what did not parse.
+RECORD = T.StructType([*MESSAGE.fields, *[T.StructField(n, T.StringType()) for n in ("sender", "body")], *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("to_emails", "cc_emails", "attachment_names")], T.StructField("_bad", T.StringType())])
+
+
 def canonical(messages: DataFrame) -> DataFrame:
-    """Defaults and aliases of message fields: cleaned ids, lower-case addresses, sender from the first field that has one."""
+    """Defaults and aliases of message fields: cleaned ids, lower-case addresses, sender and text from the first field that has
+    one, recipients from to_emails and cc_emails where their own field is empty, kinds of attachments from their names.
+
+    Fields that the table lacks are not looked for; empty texts and lists count as missing.
+    """
     from postkiln.operators.deliveries import cleaned_id
 
-    first = lambda *c: F.coalesce(*[F.nullif(F.trim(F.col(x)), F.lit("")) for x in c])
+    have = set(messages.columns)
+    first = lambda *c: F.coalesce(*[F.nullif(F.trim(F.col(x)), F.lit("")) for x in c if x in have])
     none = F.array().cast("array<string>")
-    low = lambda c: F.transform(F.coalesce(F.col(c), none), lambda x: F.lower(F.trim(x)))
+    some = lambda *c: F.coalesce(*[F.when(F.size(F.col(x)) > 0, F.col(x)) for x in c if x in have], none)
+    low = lambda *c: F.transform(some(*c), lambda x: F.lower(F.trim(x)))
+    body = F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in ("text_body", "body") if x in have])
+    types = low("attachment_types")
+    if "attachment_names" in have:
+        types = F.when(F.size(types) > 0, types).otherwise(attachment_types(some("attachment_names")))
     return messages.withColumns({
-        "msg_id": cleaned_id("msg_id"), "sender_email": F.lower(first("sender_email", "from_email")), "from_email": F.lower(first("from_email", "sender_email")),
-        "to_recipients": low("to_recipients"), "cc_recipients": low("cc_recipients"), "importance": F.coalesce(F.initcap(first("importance")), F.lit("Normal")),
-        "is_flagged": F.coalesce("is_flagged", F.lit(False)), "has_attachments": F.coalesce("has_attachments", F.lit(False)), "attachment_types": F.array_distinct(low("attachment_types")),
+        "msg_id": cleaned_id("msg_id"), "sender_email": F.lower(first("sender_email", "sender", "from_email")), "from_email": F.lower(first("from_email", "sender_email")), "text_body": body,
+        "to_recipients": low("to_recipients", "to_emails"), "cc_recipients": low("cc_recipients", "cc_emails"), "importance": F.coalesce(F.initcap(first("importance")), F.lit("Normal")),
+        "is_flagged": F.coalesce("is_flagged", F.lit(False)), "has_attachments": F.coalesce("has_attachments", F.lit(False)), "attachment_types": F.array_distinct(types),
     })
 
 
@@ -39,13 +53,45 @@ def write_snapshot(messages: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
-    """A snapshot: JSON lines, or one document that is a list of messages or has one under ``messages``. Bad records are dropped."""
+    """The messages of a snapshot: JSON lines, or one document that is a list of messages or has one under ``messages``."""
+    return read_records(spark, path, one_document)[0].select(*MESSAGE.fieldNames())
+
+
+def read_records(spark: SparkSession, path: str, one_document: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, bad): records with the fields of a message and their older names; bad has one row (source, record) for each line
+    or document that does not parse, so that nothing is lost without a trace."""
+    text = spark.read.text(path, wholetext=one_document).select(F.col("_metadata.file_path").alias("source"), "value").filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    fields = [n for n in RECORD.fieldNames() if n != "_bad"]
     if not one_document:
-        return spark.read.schema(MESSAGE).option("mode", "DROPMALFORMED").json(path)
-    whole = spark.read.text(path, wholetext=True)
-    nested = F.from_json("value", T.StructType([T.StructField("messages", T.ArrayType(MESSAGE))]))["messages"]
-    bare = F.from_json("value", T.ArrayType(MESSAGE))
-    return whole.select(F.inline(F.when(F.ltrim("value").startswith("["), bare).otherwise(nested)))
+        parsed = text.withColumn("_r", F.from_json("value", RECORD, options))
+        good = F.col("_r").isNotNull() & F.col("_r._bad").isNull() & F.trim("value").startswith("{")
+        return parsed.filter(good).select(*[F.col(f"_r.{n}") for n in fields]), parsed.filter(~F.coalesce(good, F.lit(False))).select("source", F.col("value").alias("record"))
+    plain = T.StructType([f for f in RECORD.fields if f.name != "_bad"])
+    nested = F.from_json("value", T.StructType([T.StructField("messages", T.ArrayType(plain))]))["messages"]
+    whole = text.withColumn("_m", F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(plain))).otherwise(nested))
+    return whole.select(F.inline("_m")), whole.filter("_m IS NULL").select("source", F.col("value").alias("record"))
+
+
+def snapshot_meta(messages: DataFrame, source: str, digest_date: str, fetched_at: str) -> DataFrame:
+    """One row (meta): the JSON object that says where a snapshot comes from, for which day, when, and how many messages it holds."""
+    n = messages.agg(F.count(F.lit(1)).alias("count"))
+    return n.select(F.to_json(F.struct(F.lit(source).alias("source"), F.lit(digest_date).alias("digest_date"), F.lit(fetched_at).alias("fetch_timestamp"), "count")).alias("meta"))
+
+
+def load_watermark(spark: SparkSession, path: str) -> str | None:
+    """The watermark that was stored last, as text; None where there is none or it does not parse."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    row = spark.read.schema("watermark string").json(path).agg(F.max(F.col("watermark").try_cast("timestamp")).cast("string")).first()
+    return row[0] if row else None
+
+
+def store_watermark(mark: DataFrame, path: str) -> None:
+    """Stores the one row (watermark) of ``after_watermark``; a null one keeps what is stored."""
+    if not mark.filter("watermark IS NOT NULL").isEmpty():
+        mark.select(F.col("watermark").cast("string").alias("watermark")).coalesce(1).write.mode("overwrite").json(path)
 
 
 def recorded_replies(spark: SparkSession, path: str) -> DataFrame:
