@@ -51,7 +51,9 @@ def lemma(token: str, custom: dict[str, str] | None = None) -> str:
     return w
 
 
-_lemma = lru_cache(maxsize=200_000)(lemma)
+@lru_cache(maxsize=200_000)
+def _lemma(token: str) -> str:
+    return lemma(token)
 
 
 @F.pandas_udf(T.StringType())

@@ -62,3 +62,13 @@ def quotes_removed(c: Column, keep_head: bool = True) -> Column:
         return s.map(lambda t: without_quotes(t, keep_head) if isinstance(t, str) else None)
 
     return run(c)
+
+
+def main_contents(c: Column) -> Column:
+    """``main_content`` of a column; null for null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: main_content(t) if isinstance(t, str) else None)
+
+    return run(c)

@@ -83,7 +83,8 @@ def latest_by_id(messages: DataFrame, key: str, order: list[str], columns: list[
 def participants(messages: DataFrame, key: str, sender: str, to: str, cc: str) -> DataFrame:
     """(thread, participant, roles): everyone who wrote or received a message of a thread, once, and as what. One row each, so the
     people of a thread of any size are never gathered."""
-    people = F.concat(F.array(F.struct(F.col(sender).alias("who"), F.lit("from").alias("as"))), *[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, n=n: F.struct(x.alias("who"), F.lit(n).alias("as"))) for c, n in ((to, "to"), (cc, "cc"))])
+    as_a = lambda role: lambda x: F.struct(x.alias("who"), F.lit(role).alias("as"))
+    people = F.concat(F.array(as_a("from")(F.col(sender))), *[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), as_a(n)) for c, n in ((to, "to"), (cc, "cc"))])
     rows = messages.select(key, F.inline(people)).select(key, F.nullif(F.lower(F.trim("who")), F.lit("")).alias("participant"), "as").filter("participant IS NOT NULL")
     return rows.groupBy(key, "participant").agg(F.array_join(F.sort_array(F.collect_set("as")), "|").alias("roles"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postkiln.functions import signals
+from postkiln.functions.text import same_subject
 from postkiln.operators import actions, citations, digest, evaluation, evidence, hierarchy, ranking, selection, threads
 from postkiln.operators.deliveries import cleaned_id, keep_first_delivery
 from postkiln.plans.core_queries import _RANKED
@@ -73,6 +74,42 @@ def thread_priorities(spark: SparkSession, d: str) -> DataFrame:
     return threads.prioritised(summary, "2025-06-15 12:00:00").select("thread", "n_messages", "participants", "priority")
 
 
+@query(f"SELECT thread FROM ({_SUMMARY}) WHERE latest >= TIMESTAMP '2025-06-15 12:00:00' - INTERVAL 48 HOURS")
+def threads_recent(spark: SparkSession, d: str) -> DataFrame:
+    summary = threads.thread_summary(_threaded(spark, d), "thread", "ingested_at", "sender_email")
+    return threads.recent(summary, "2025-06-15 12:00:00").select("thread")
+
+
+@query(f"SELECT thread, CAST(row_number() OVER (ORDER BY latest DESC NULLS LAST, thread) AS INTEGER) AS place FROM ({_SUMMARY})")
+def threads_by_latest(spark: SparkSession, d: str) -> DataFrame:
+    return threads.by_latest(threads.thread_summary(_threaded(spark, d), "thread", "ingested_at", "sender_email"), "thread").select("thread", "place")
+
+
+@query("SELECT c.conversation_id, n_messages, coalesce(n, 0) AS n_chunks FROM (SELECT conversation_id, count(*) AS n_messages FROM messages WHERE conversation_id IS NOT NULL GROUP BY 1) c LEFT JOIN (SELECT conversation_id, count(*) AS n FROM evidence_chunks GROUP BY 1) k USING (conversation_id)")
+def threads_with_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and chunks of each conversation; conversations without evidence have 0."""
+    talks = table(spark, d, "messages", "conversation_id").filter("conversation_id IS NOT NULL").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return threads.with_chunk_counts(talks, table(spark, d, "evidence_chunks", "conversation_id"), "conversation_id")
+
+
+@query(f"SELECT id, row_id, subject FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no DESC, row_id DESC) AS last FROM ({_RANKED}) WHERE id IS NOT NULL) WHERE last = 1")
+def last_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of each identifier, as an index of messages holds it."""
+    rows = table(spark, d, "messages", "msg_id", "batch_no", "row_id", "subject").withColumn("id", cleaned_id("msg_id"))
+    return threads.latest_by_id(rows, "id", ["batch_no", "row_id"], ["row_id", "subject"])
+
+
+@query(f"""SELECT thread, participant, string_agg(DISTINCT role, '|' ORDER BY role) AS roles FROM (SELECT thread, nullif(lower(trim(who)), '') AS participant, role FROM (SELECT thread, sender_email AS who, 'from' AS role FROM (SELECT *, {_THREAD} AS thread FROM messages) UNION ALL SELECT thread, unnest(to_recipients), 'to' FROM (SELECT *, {_THREAD} AS thread FROM messages) UNION ALL SELECT thread, unnest(cc_recipients), 'cc' FROM (SELECT *, {_THREAD} AS thread FROM messages))) WHERE participant IS NOT NULL GROUP BY ALL""")
+def thread_people(spark: SparkSession, d: str) -> DataFrame:
+    """Everyone in a thread, once, and in what part."""
+    return threads.participants(_threaded(spark, d, "to_recipients", "cc_recipients"), "thread", "sender_email", "to_recipients", "cc_recipients")
+
+
+@query(f"""SELECT m.messages, m.unique_bodies, count(*) AS threads, {", ".join(f"CAST(sum(CASE WHEN thread LIKE '{k}|_%' ESCAPE '|' THEN 1 ELSE 0 END) AS BIGINT) AS by_{k}" for k in ("conv", "subj", "single"))}, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS with_replies FROM (SELECT {_THREAD} AS thread, count(*) AS n FROM messages GROUP BY 1) t, (SELECT count(*) AS messages, count(DISTINCT coalesce(text_body, '')) AS unique_bodies FROM messages) m GROUP BY ALL""")
+def thread_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return threads.thread_statistics(_threaded(spark, d, "text_body"), "thread", "text_body")
+
+
 @query()
 def merged_threads(spark: SparkSession, d: str) -> DataFrame:
     """Threads of one subject with like first messages, as classes; tested against brute force."""
@@ -88,6 +125,26 @@ def reply_parents(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("id IS NOT NULL AND parent IS NOT NULL").join(parents, "parent").select("row_id", "parent_row")
 
 
+@query(f"SELECT a.row_id, coalesce({_SUBJECT_SQL.replace('subject', 'a.subject')} = {_SUBJECT_SQL.replace('subject', 'b.subject')} AND {_SUBJECT_SQL.replace('subject', 'a.subject')} <> '', false) AS same FROM (SELECT * FROM ({_RANKED}) WHERE rn = 1 AND id IS NOT NULL) a JOIN (SELECT * FROM ({_RANKED}) WHERE rn = 1 AND id IS NOT NULL) b ON b.id = nullif(lower(regexp_replace(trim(a.in_reply_to), '^<(.*)>$', '\\1')), '')")
+def reply_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each reply has the subject of the mail it answers."""
+    rows = keep_first_delivery(table(spark, d, "messages", "row_id", "batch_no", "msg_id", "in_reply_to", "subject")).select("row_id", cleaned_id("msg_id").alias("id"), cleaned_id("in_reply_to").alias("parent"), "subject").filter("id IS NOT NULL")
+    parents = rows.select(F.col("id").alias("parent"), F.col("subject").alias("_above"))
+    return rows.filter("parent IS NOT NULL").join(parents, "parent").select("row_id", same_subject(F.col("subject"), F.col("_above")).alias("same"))
+
+
+_LOW = "lower(coalesce(subject, '') || ' ' || coalesce(sender_email, ''))"
+_SERVICE = f"regexp_matches(coalesce(subject, '') || ' ' || coalesce(sender_email, ''), '(?i)(\\b(noreply@|no-reply@|donotreply@)|(^|[^\\p{{L}}\\p{{N}}_])(unsubscribe|отписаться)($|[^\\p{{L}}\\p{{N}}_])|(^|[^\\p{{L}}\\p{{N}}_])(auto-submitted|автоответ)($|[^\\p{{L}}\\p{{N}}_])|\\bpostmaster@|(^|[^\\p{{L}}\\p{{N}}_])(delivery status|статус доставки)($|[^\\p{{L}}\\p{{N}}_])|\\b(out of office|auto-reply|automatic reply)\\b)')"
+
+
+@query(f"""SELECT row_id, {_SERVICE} AS service, {" + ".join(f"CASE WHEN contains({_LOW}, '{m}') THEN 1.0 ELSE 0.0 END" for m in selection.PLAIN_MARKERS)} - CASE WHEN {_SERVICE} THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_matches(lower(coalesce(sender_email, '')), 'ceo@|director@') THEN 2.0 WHEN regexp_matches(lower(coalesce(sender_email, '')), 'manager@|lead@') THEN 1.0 ELSE 0.0 END + CASE WHEN len(coalesce(to_recipients, [])) > 1 THEN 1.0 ELSE 0.0 END AS score FROM messages""")
+def plain_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The plain scorer of mails; here its recipients stand for the messages of its thread."""
+    rows = table(spark, d, "messages", "row_id", "subject", "sender_email", "to_recipients")
+    who, what = F.col("sender_email"), F.col("subject")
+    return rows.select("row_id", selection.is_service_mail(what, who).alias("service"), selection.plain_score(what, who, F.coalesce(F.size("to_recipients"), F.lit(0))).alias("score"))
+
+
 # evidence and selection
 
 
@@ -124,9 +181,25 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return flat.withColumn("score", F.round(score, 6))
 
 
-@query(f"SELECT chunk_id, {_ENHANCED} AS score, CASE WHEN sender_rank >= 2 THEN 'critical' WHEN n_dates > 0 THEN 'dates' WHEN coalesce(addressed_to_me, false) THEN 'addressed' ELSE 'remainder' END AS bucket FROM ({_FLAGS})")
+NOW = "2025-02-01 00:00:00"
+_MAIL = f"(SELECT id, ingested_at, attachment_types, to_recipients, cc_recipients, has_attachments, subject AS mail_subject FROM ({_RANKED}) WHERE rn = 1 AND id IS NOT NULL)"
+_HOURS = f"(epoch(TIMESTAMP '{NOW}') - floor(epoch(ingested_at))) / 3600.0"
+
+
+def _mails(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The kept delivery of each mail by its cleaned identifier (mail_id)."""
+    rows = keep_first_delivery(table(spark, d, "messages", *dict.fromkeys(["row_id", "batch_no", "msg_id", *columns])))
+    return rows.select(cleaned_id("msg_id").alias("mail_id"), *columns).filter("mail_id IS NOT NULL")
+
+
+@query(f"""SELECT chunk_id, round({_ENHANCED.replace("round(0.2 * 2", f"(CASE WHEN {_HOURS} < 1 THEN 1.0 WHEN {_HOURS} < 6 THEN 0.8 WHEN {_HOURS} < 24 THEN 0.5 ELSE 0.2 END * 2").replace(", 6)", ")")} + CASE WHEN len(list_filter(coalesce(attachment_types, []), lambda x: lower(x) IN ('pdf', 'doc', 'docx', 'xlsx', 'xls', 'ppt', 'pptx'))) > 0 THEN 1 ELSE 0 END, 6) AS score, CASE WHEN sender_rank >= 2 THEN 'critical' WHEN n_dates > 0 THEN 'dates' WHEN coalesce(addressed_to_me, false) THEN 'addressed' ELSE 'remainder' END AS bucket FROM ({_FLAGS}) f LEFT JOIN {_MAIL} m ON m.id = f.msg_id""")
 def enhanced_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("chunk_id", "score", selection.bucket_of(F.col("sender_rank"), F.col("n_dates"), F.col("addressed_to_me")).alias("bucket"))
+    """Scores with the age and the attachments of the mail behind each chunk."""
+    rows = _scored(spark, d).join(_mails(spark, d, "ingested_at", "attachment_types"), F.col("msg_id") == F.col("mail_id"), "left")
+    hours = (F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp(F.col("ingested_at").cast("timestamp"))) / 3600.0
+    negative = F.coalesce(F.col("sender").rlike(r"(?i)\b(noreply@|no-reply@|donotreply@)|\bpostmaster@"), F.lit(False))
+    score = selection.enhanced_score(hours, F.col("addressed_to_me"), F.col("n_verbs"), F.col("question"), F.col("n_dates"), F.col("importance"), F.col("flagged"), selection.has_documents(F.col("attachment_types")), F.col("sender_rank"), F.col("priority_score"), negative)
+    return rows.select("chunk_id", F.round(score, 6).alias("score"), selection.bucket_of(F.col("sender_rank"), F.col("n_dates"), F.col("addressed_to_me")).alias("bucket"))
 
 
 @query(f"""SELECT conversation_id, chunk_id, CAST(CASE WHEN s <= 900 THEN t ELSE 900 - (s - t) END AS BIGINT) AS kept_tokens FROM (SELECT conversation_id, chunk_id, coalesce(token_count, 0) AS t, sum(coalesce(token_count, 0)) OVER (PARTITION BY conversation_id ORDER BY priority_score DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS s FROM ({_FLAGS}) WHERE conversation_id IS NOT NULL) WHERE s <= 900 OR 900 - (s - t) >= 64""")
@@ -154,13 +227,9 @@ def bucket_selection_shrunk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def selection_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Per bucket: rows chosen, runs and tokens; and what was passed over although it asks for action."""
+    """Counters of the selection of every run."""
     runs = _runs(spark, d)
-    chosen = selection.selected(runs, "run", "evidence_id", "conversation_id", "score")
-    joined = runs.select("run", "evidence_id", "token_count", "n_verbs").join(chosen, ["run", "evidence_id"], "left")
-    return joined.groupBy(F.coalesce("bucket", F.when(F.col("n_verbs") > 0, "discarded action").otherwise("discarded")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run").alias("runs"), F.sum("token_count").alias("tokens"))
-
-
+    return selection.selection_metrics(runs, selection.selected(runs, "run", "evidence_id", "conversation_id", "score"), "run", "evidence_id", "conversation_id")
 
 
 @query()
@@ -176,10 +245,13 @@ def actions_backed(spark: SparkSession, d: str) -> DataFrame:
     return actions.backed(actions.actions(mails, "id", "text_body", signals.mention_aliases(ALIASES)), rows, "id")
 
 
-@query("SELECT round(1 / (1 + exp(1.5 - (CASE WHEN contains(content, '?') THEN 0.8 ELSE 0 END + CASE WHEN coalesce(addressed_to_me, false) THEN 1.5 ELSE 0 END + coalesce(signals.sender_rank, 1) * 0.5))), 6) AS confidence, chunk_id FROM evidence_chunks WHERE content IS NOT NULL")
+@query()
 def action_confidences(spark: SparkSession, d: str) -> DataFrame:
-    no = F.lit(False)
-    c = signals.action_confidence(F.coalesce("addressed_to_me", no), no, no, F.col("content").contains("?"), no, F.coalesce(F.col("signals.sender_rank"), F.lit(1)))
+    """Confidence that a chunk asks for something, from all six features; tested against a plain reading of the rule."""
+    t = F.col("content")
+    has = lambda *p: F.greatest(*[t.rlike(x) for x in p], F.lit(False))
+    mention = F.coalesce(F.col("addressed_to_me"), F.lit(False)) | actions.mentions(t, signals.mention_aliases(ALIASES))
+    c = signals.action_confidence(mention, has(signals.IMPERATIVE_RU, signals.IMPERATIVE_EN), has(signals.MARKER_RU, signals.MARKER_EN), has(signals.QUESTION), has(signals.DEADLINE), F.coalesce(F.col("signals.sender_rank"), F.lit(1)))
     return table(spark, d, "evidence_chunks").filter("content IS NOT NULL").select("chunk_id", F.round(c, 6).alias("confidence"))
 
 
@@ -192,8 +264,13 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return keep_first_delivery(table(spark, d, "messages", "row_id", "batch_no", "msg_id", "text_body")).select(cleaned_id("msg_id").alias("msg_id"), "text_body").filter("msg_id IS NOT NULL")
 
 
-@query(rf"""SELECT chunk_id, CAST(CASE WHEN length(content) = 0 THEN NULL WHEN x > 0 THEN x - 1 WHEN y > 0 THEN y - 1 END AS BIGINT) AS start_at, CAST(CASE WHEN length(content) = 0 THEN NULL WHEN x > 0 THEN x - 1 + length(content) WHEN y > 0 THEN y - 1 + length(content) END AS BIGINT) AS end_at, substr(content, 1, 200) AS preview, checksum
-FROM (SELECT c.chunk_id, c.content, strpos(b.text_body, c.content) AS x, strpos(trim(regexp_replace(b.text_body, '\s+', ' ', 'g')), trim(regexp_replace(c.content, '\s+', ' ', 'g'))) AS y, sha256(b.text_body) AS checksum FROM evidence_chunks c LEFT JOIN {_BODY} b ON b.id = c.msg_id WHERE c.content IS NOT NULL)""")
+_WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\p{Z}]"
+#: Where the k-th word of a body begins and ends, from runs of white space and of other characters.
+_PLACES = rf"""SELECT chunk_id, content, checksum, body, x, list_filter(regexp_split_to_array(content, '{_WS}+'), lambda w: w <> '') AS cw, list_filter(regexp_split_to_array(body, '{_WS}+'), lambda w: w <> '') AS bw, regexp_extract_all(body, '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\p{{Z}}]+|{_WS}+') AS runs FROM (SELECT c.chunk_id, c.content, b.text_body AS body, strpos(b.text_body, c.content) AS x, sha256(b.text_body) AS checksum FROM evidence_chunks c LEFT JOIN {_BODY} b ON b.id = c.msg_id WHERE c.content IS NOT NULL)"""
+
+
+@query(rf"""SELECT chunk_id, CAST(CASE WHEN len(cw) = 0 THEN NULL WHEN x > 0 THEN x - 1 ELSE strpos(body, stretch) - 1 END AS BIGINT) AS start_at, CAST(CASE WHEN len(cw) = 0 THEN NULL WHEN x > 0 THEN x - 1 + length(content) ELSE strpos(body, stretch) - 1 + length(stretch) END AS BIGINT) AS end_at, substr(CASE WHEN len(cw) = 0 THEN NULL WHEN x > 0 THEN content ELSE stretch END, 1, 200) AS preview, checksum
+FROM (SELECT *, CASE WHEN x = 0 AND len(cw) > 0 AND contains(' ' || array_to_string(bw, ' ') || ' ', array_to_string(cw, ' ')) THEN (SELECT nullif(regexp_extract(body, array_to_string(list_transform(cw, lambda w: regexp_escape(w)), '{_WS}+')), '')) END AS stretch FROM ({_PLACES}))""")
 def citations_built(spark: SparkSession, d: str) -> DataFrame:
     built = citations.cited(table(spark, d, "evidence_chunks", "chunk_id", "msg_id", "content").filter("content IS NOT NULL"), _bodies(spark, d), "msg_id", "content", "text_body")
     return built.select("chunk_id", F.col("start_at").cast("bigint").alias("start_at"), F.col("end_at").cast("bigint").alias("end_at"), "preview", "checksum")
@@ -225,9 +302,32 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return joined.withColumns({"confidence": digest.confidence_number(F.col("confidence")), "has_action": ranking.has_marker(F.col("title")), "score": F.round(score, 6), "digest": section})
 
 
-@query(f"SELECT item_id, score, CAST(row_number() OVER (PARTITION BY digest_date, mailbox_id ORDER BY score DESC, item_id) AS INTEGER) AS place FROM (SELECT item_id, digest_date, mailbox_id, {_RANK} AS score FROM ({_ITEM}))")
+_ALIAS = ["brucheychenko", "velimir-drozd@tarnfold.test", "mhexley"]
+_IN = "len(list_filter(coalesce({c}, []), lambda r: " + " OR ".join(f"contains(lower(r), '{a}')" for a in _ALIAS) + ")) > 0"
+_MARKS = "(" + " OR ".join(f"contains(lower(coalesce({{c}}, '')), '{m}')" for m in ranking.MARKERS) + ")"
+_KIND = "CASE WHEN response_channel IS NULL THEN 'item' WHEN coalesce(len(actors), 0) = 0 THEN 'mention' ELSE 'typed' END"
+_AGE = "(epoch(CAST(digest_date AS TIMESTAMP)) + 86400 - floor(epoch(ingested_at))) / 3600.0"
+_TEN = rf"""CASE WHEN found IS NULL THEN 0.0 ELSE least(greatest(CASE WHEN {_IN.format(c="to_recipients")} THEN 0.15 WHEN {_IN.format(c="cc_recipients")} THEN 0.05 ELSE 0.0 END + CASE WHEN kind = 'item' AND {_MARKS.format(c="title")} OR kind = 'typed' AND {_MARKS.format(c="coalesce(description, quote)")} THEN 0.2 ELSE 0.0 END + CASE WHEN kind = 'mention' THEN 0.1 ELSE 0.0 END + CASE WHEN coalesce(due_date, '') <> '' THEN 0.15 ELSE 0.0 END
++ 0.1 * CASE WHEN coalesce(sender, '') = '' THEN 0.5 WHEN lower(sender) = 'brucheychenko@lumenbay.example' THEN 1.0 WHEN lower(split_part(sender, '@', -1)) = 'tarnfold.test' THEN 0.8 WHEN contains(lower(split_part(sender, '@', -1)), 'saltmarsh') THEN 0.7 ELSE 0.5 END + 0.05 * least(coalesce(n_thread, 1) / 10.0, 1.0) + 0.1 * greatest(0.0, 1 - coalesce({_AGE}, 24.0) / 48.0)
++ CASE WHEN has_attachments THEN 0.05 ELSE 0.0 END + CASE WHEN regexp_matches(coalesce(email_subject, subject, ''), '\[(?:(?:JIRA|PROJ|TASK|BUG|TICKET)-|#)\d+\]') THEN 0.05 ELSE 0.0 END, 0.0), 1.0) END"""
+_FULL = f"""SELECT a.*, {_KIND} AS kind, c.evidence_id AS found, c.sender, c.subject, n_thread, m.ingested_at, m.to_recipients, m.cc_recipients, m.has_attachments FROM action_items a LEFT JOIN (SELECT f.*, e.message_metadata.subject AS subject FROM ({_FLAGS}) f JOIN evidence_chunks e USING (chunk_id)) c ON a.evidence_id = c.evidence_id LEFT JOIN (SELECT conversation_id, count(*) AS n_thread FROM ({_FLAGS}) GROUP BY 1) t ON t.conversation_id = c.conversation_id LEFT JOIN {_MAIL} m ON m.id = c.msg_id"""
+
+
+@query(f"SELECT item_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY digest_date, mailbox_id ORDER BY round(score, 6) DESC, item_id) AS INTEGER) AS place FROM (SELECT item_id, digest_date, mailbox_id, {_TEN} AS score FROM ({_FULL}))")
 def items_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranked(_items(spark, d), "digest", "score", "item_id").select("item_id", "score", "place")
+    """Items of each digest by all ten features of the mail and the thread behind their evidence."""
+    items = table(spark, d, "action_items", "item_id", "digest_date", "mailbox_id", "title", "description", "quote", "due_date", "evidence_id", "response_channel", "actors", "email_subject")
+    chunks = _chunks(spark, d).select(F.col("evidence_id").alias("found"), "conversation_id", "msg_id", F.col("message_metadata.sender").alias("sender"), F.col("message_metadata.subject").alias("subject"))
+    sizes = chunks.filter("conversation_id IS NOT NULL").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_thread"))
+    mails = _mails(spark, d, "ingested_at", "to_recipients", "cc_recipients", "has_attachments")
+    known = chunks.join(sizes, "conversation_id", "left").join(mails, F.col("msg_id") == F.col("mail_id"), "left")
+    rows = items.join(known, items["evidence_id"] == F.col("found"), "left")
+    kind = F.when(F.col("response_channel").isNull(), "item").when(F.coalesce(F.size("actors"), F.lit(0)) <= 0, "mention").otherwise("typed")
+    hours = (F.unix_timestamp(F.col("digest_date").cast("timestamp")) + 86400 - F.unix_timestamp(F.col("ingested_at").cast("timestamp"))) / 3600.0
+    c = {"found": F.col("found").isNotNull(), "to": F.col("to_recipients"), "cc": F.col("cc_recipients"), "title": F.col("title"), "kind": kind, "text": F.coalesce("description", "quote"), "due": F.col("due_date"), "sender": F.col("sender"), "n_thread": F.col("n_thread"), "hours_old": hours, "has_attachments": F.col("has_attachments"), "subject": F.coalesce("email_subject", "subject")}
+    score = F.round(ranking.item_score(ranking.features(c, _ALIAS, ["brucheychenko@lumenbay.example", "@tarnfold.test", "saltmarsh"])), 6)
+    scored = rows.select("item_id", F.concat_ws("@", "digest_date", F.col("mailbox_id").cast("string")).alias("digest"), score.alias("score"))
+    return ranking.ranked(scored, "digest", "score", "item_id").select("item_id", "score", "place")
 
 
 @query(f"SELECT CAST(mailbox_id AS INTEGER) AS mailbox_id, round(avg(CASE WHEN has_action THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY score DESC, item_id) AS place FROM (SELECT item_id, mailbox_id, has_action, {_RANK} AS score FROM ({_ITEM}))) WHERE place <= 10 GROUP BY 1")
@@ -260,14 +360,19 @@ def digest_reports(spark: SparkSession, d: str) -> DataFrame:
     return digest.markdown(placed, "digest", "section", "place", "title", "due_date")
 
 
-@query()
+@query("""SELECT item_id, json_extract_string(doc, '$.title') AS title, json_extract_string(doc, '$.due_date') AS due_date, json_extract_string(doc, '$.evidence_id') AS evidence_id FROM (SELECT item_id, to_json({'title': title, 'due_date': due_date, 'evidence_id': evidence_id}) AS doc FROM action_items)""")
 def digest_documents(spark: SparkSession, d: str) -> DataFrame:
-    return digest.as_json(table(spark, d, "action_items", "digest_date", "item_id", "title", "due_date", "evidence_id"), "digest_date")
+    """The items of each digest as one document without null fields, read again."""
+    rows = table(spark, d, "action_items", "digest_date", "mailbox_id", "item_id", "title", "due_date", "evidence_id")
+    documents = digest.as_json(rows.withColumn("run", F.concat_ws("@", "digest_date", F.col("mailbox_id").cast("string"))).drop("digest_date", "mailbox_id"), "run")
+    kind = "items array<struct<item_id:bigint,title:string,due_date:string,evidence_id:string>>"
+    return documents.select(F.inline(F.from_json("digest", kind)["items"]))
 
 
 @query()
 def report_parts(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "messages", "row_id", "text_body").filter(F.char_length("text_body") > 1000).select("row_id", digest.parts_column(F.col("text_body"), 1000).alias("p"))
+    """Every body in parts of at most 1,000 characters; tested for size and for nothing lost."""
+    parts = table(spark, d, "messages", "row_id", "text_body").filter("text_body IS NOT NULL").select("row_id", digest.parts_column(F.col("text_body"), 1000).alias("p"))
     return parts.select("row_id", F.posexplode("p").alias("part_no", "part"))
 
 
@@ -319,16 +424,19 @@ def threads_read_directly(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_chunks")).join(hierarchy.qualifying(rows, "conversation_id").select("conversation_id"), "conversation_id", "left_anti")
 
 
-@query(f"""WITH c AS (SELECT * FROM ({_FLAGS}) WHERE conversation_id IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY priority_score DESC, chunk_id) AS r, row_number() OVER (PARTITION BY conversation_id ORDER BY chunk_idx DESC, chunk_id DESC) AS l FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY priority_score DESC, chunk_id) AS mr FROM c WHERE coalesce(addressed_to_me, false)),
+_TO_READ = f"""WITH c AS (SELECT * FROM ({_FLAGS}) WHERE conversation_id IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY priority_score DESC, chunk_id) AS r, row_number() OVER (PARTITION BY conversation_id ORDER BY chunk_idx DESC, chunk_id DESC) AS l FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY priority_score DESC, chunk_id) AS mr FROM c WHERE coalesce(addressed_to_me, false)),
 must AS (SELECT conversation_id, chunk_id, min(reason) AS reason FROM (SELECT conversation_id, chunk_id, 'latest' AS reason FROM b WHERE l = 1 UNION ALL SELECT conversation_id, chunk_id, 'mention' FROM m WHERE mr <= 11) GROUP BY 1, 2), n AS (SELECT conversation_id, count(*) AS k FROM must GROUP BY 1),
 o AS (SELECT b.conversation_id, b.chunk_id, row_number() OVER (PARTITION BY b.conversation_id ORDER BY b.r) AS p FROM b ANTI JOIN must USING (conversation_id, chunk_id) WHERE b.r <= 20)
-SELECT conversation_id, chunk_id, reason FROM must UNION ALL SELECT o.conversation_id, o.chunk_id, 'score' FROM o JOIN n USING (conversation_id) WHERE p <= greatest(0, 8 - k)""")
+SELECT conversation_id, chunk_id, reason FROM must UNION ALL SELECT o.conversation_id, o.chunk_id, 'score' FROM o JOIN n USING (conversation_id) WHERE p <= greatest(0, 8 - k)"""
+
+
+@query(_TO_READ)
 def chunks_to_read(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).filter("conversation_id IS NOT NULL")
     return hierarchy.must_include(rows, "conversation_id", "chunk_id", "priority_score", "chunk_idx", "addressed_to_me")
 
 
-@query()
+@query(rf"""SELECT conversation_id, string_agg('- ' || substr(regexp_replace(content, '[\s\x{{0b}}]+', ' ', 'g'), 1, 150), chr(10) ORDER BY chunk_id) AS prompt FROM ({_TO_READ}) JOIN evidence_chunks USING (conversation_id, chunk_id) GROUP BY 1""")
 def thread_prompts(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).filter("conversation_id IS NOT NULL")
     picked = hierarchy.must_include(rows, "conversation_id", "chunk_id", "priority_score", "chunk_idx", "addressed_to_me")

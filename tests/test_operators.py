@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postkiln.functions import html, lemmas, quotes, signals
 from postkiln.functions import text as tx
-from postkiln.operators import actions, citations, digest, evaluation, evidence, selection, threads
+from postkiln.operators import actions, digest, evaluation, evidence, threads
 from postkiln.sources import snapshots
 from postkiln.streaming import mail
 
@@ -63,23 +63,6 @@ def test_chunks_are_slices(spark):
     assert {x["k"] for x in evidence.chunks(df, "k", "b").collect()} == {1}
 
 
-def test_selection_invariants():
-    r = random.Random(4)
-    for _ in range(30):
-        rows = [(i, r.randrange(8), r.randrange(50, 900), r.random() < 0.2, r.randrange(3) * (r.random() < 0.2), 1 + (r.random() < 0.1)) for i in range(r.randrange(0, 80))]
-        q = selection.Quotas()
-        chosen = selection.choose(rows, q)
-        keys = [k for k, _ in chosen]
-        assert len(set(keys)) == len(keys)
-        by = {x[0]: x for x in rows}
-        for t in range(8):
-            assert sum(by[k][1] == t for k in keys) <= q.per_thread
-        guaranteed = sum(by[k][2] for k in keys)
-        assert guaranteed <= q.tokens + 2 * 900
-        small = selection.shrink([(k, b, by[k][2], 100.0 - k) for k, b in chosen], 1500, q)
-        assert set(k for k, _ in small) <= set(keys)
-
-
 def test_merged_threads_against_brute_force(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(12)]
@@ -114,20 +97,11 @@ def test_actions_and_backing(spark):
     mails = spark.createDataFrame([(1, "Hello Bob. Could you review the plan by 01/15? We met today in the hall."), (2, None)], "k int, b string")
     got = actions.actions(mails, "k", "b", signals.mention_aliases(["bob@x.example"]))
     rows = {x["sentence_no"]: x for x in got.collect()}
-    assert rows[1]["action_type"] == "action" and rows[1]["deadline"].lower() == "by 01/15"
+    assert rows[1]["action_type"] == "question" and rows[1]["verb"] == "answer" and rows[1]["deadline"].lower() == "by 01/15"
     chunks = spark.createDataFrame([(1, "ev-1", 0, "Hello Bob."), (1, "ev-2", 1, "Could you review the plan by 01/15?")], "k int, evidence_id string, chunk_idx int, content string")
     assert {x["sentence_no"]: x["evidence_id"] for x in actions.backed(got, chunks, "k").collect()}[1] == "ev-2"
 
 
-def test_citations(spark):
-    mails = spark.createDataFrame([("m", "😀 one\ntwo three")], "id string, body string")
-    chunks = spark.createDataFrame([("m", "one\ntwo"), ("m", "one two"), ("m", "absent"), ("x", "one"), ("m", None)], "id string, c string")
-    cited = citations.cited(chunks, mails, "id", "c", "body")
-    assert [(r["start_at"], r["exact"]) for r in cited.orderBy(F.desc_nulls_last("exact"), "c").collect()][0] == (2, True)
-    ok = citations.checked(cited.filter("exact"), mails, "id", "body").collect()
-    assert [r["problem"] for r in ok] == [None]
-
-
 def test_grades(spark):
     items = spark.createDataFrame([("d", 1, "a", "e1", 0.9, None), ("d", 2, "A ", "zz", 1.4, "soon"), ("d", 3, None, None, None, "today")], "digest string, id int, title string, evidence_id string, confidence double, due string")
     found = evaluation.issues(items, spark.createDataFrame([("e1",)], "evidence_id string"), "digest", "id", F.lit(True))
@@ -171,22 +145,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert fresh.count() == rows.filter("ts > '2024-01-03'").count() and mark.first()[0] is not None
 
 
-def test_selection_reaches_past_oversized_rows(spark):
-    """The fourth row of a thread enters where the first three do not fit the budget."""
-    rows = [(1, k, "t", 10.0 - k, 9000 if k < 3 else 100, False, 0, 1) for k in range(4)]
-    df = spark.createDataFrame(rows, "g int, k int, t string, s double, token_count int, addressed_to_me boolean, n_dates int, sender_rank int")
-    assert [r["k"] for r in selection.selected(df, "g", "k", "t", "s").collect()] == [3]
-
-
 def test_lemmas_of_all_tokens(spark, tmp_path):
     import re
     from collections import Counter
 
     from postkiln.functions.lemmas import lemma
-    from postkiln.plans.text_queries import lemma_counts_all
+    from postkiln.plans.text_queries import lemma_counts
 
     texts = ["Review the test, reviewed and approved.", "Tests approve; проверьте письмо", "", None]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = Counter(lemma(w) for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
-    assert {r["lemma"]: r["n"] for r in lemma_counts_all(spark, str(tmp_path)).collect()} == want
+    assert {r["lemma"]: r["n"] for r in lemma_counts(spark, str(tmp_path)).collect()} == want
     assert want["review"] == want["test"] == want["approve"] == 2
