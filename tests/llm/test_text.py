@@ -52,11 +52,13 @@ def test_fields(spark):
 @given(st.text(alphabet=st.sampled_from("ab \n.#-жé😀́\r中"), max_size=400), st.integers(2, 60), st.integers(0, 40))
 def test_pieces_lose_nothing(text, limit, overlap):
     parts = split.pieces(text, limit, overlap)
-    over = min(overlap, limit // 2)
+    if overlap >= limit and len(text) > limit:
+        assert parts == []
+        return
     assert all(len(p) <= limit for _, p in parts)
     rebuilt = parts[0][1]
     for (_, before), (start, piece) in zip(parts, parts[1:]):
-        k = min(over, len(before))
+        k = min(overlap, len(before))
         assert k == 0 or piece[:k] == before[-k:]
         assert text[start : start + len(piece)] == piece
         rebuilt += piece[k:]
@@ -74,6 +76,33 @@ def test_oversized_items(spark):
     limits = spark.createDataFrame([("message", 100, 10), ("chunk", 50, None)], "item_kind string, max_chars int, overlap_chars int")
     rows = split.oversized_pieces(items, limits).collect()
     assert {(r["item_kind"], r["item_key"]) for r in rows} == {("message", 1), ("chunk", 5)}
+    never = spark.createDataFrame([("message", 100, 100)], "item_kind string, max_chars int, overlap_chars int")
+    assert [tuple(r) for r in split.oversized_pieces(items, never).collect()] == [("message", 1, 0, 0, 0, None)]
+
+
+def test_long_overlap_holds():
+    text = "".join(random.Random(1).choice("abc. \n") for _ in range(900))
+    parts = split.pieces(text, 100, 90)
+    assert all(len(p) <= 100 for _, p in parts) and all(b[:90] == a[-90:] or len(a) < 90 for (_, a), (_, b) in zip(parts, parts[1:]))
+
+
+def test_the_tree_of_an_item():
+    text = "intro line\n# One\ntext of one\n## Inner\n- item\n  - below it\n  - below it too\n- second\n# Two\n<table>\n<tr><td>a</td></tr>\n</table>\n\nlast paragraph"
+    places, ranks = split.structure(text)
+    opened = {text[p : text.find("\n", p) if text.find("\n", p) > 0 else None]: r for p, r in zip(places, ranks)}
+    assert opened["# One"] == opened["# Two"] == 1 and opened["## Inner"] == 2
+    assert opened["- item"] == opened["- second"] < opened["  - below it"] < opened["text of one"]
+    assert opened["<table>"] < opened["last paragraph"] < opened["<tr><td>a</td></tr>"] <= opened["- item"]
+    # a nested list goes with the item above it, a section is not cut while a higher bound is there
+    ends = split.cuts(text, 60)
+    assert text.index("# Two") in ends and text.index("  - below it too") not in ends
+
+
+def test_whole_siblings_are_merged():
+    section = lambda n: f"# S{n}\n" + "w " * 20 + "\n"
+    text = "".join(section(n) for n in range(6)) + "# Big\n" + "long sentence here. " * 20 + "\n# Tail\nend"
+    ends = split.cuts(text, 100)
+    assert text.index("# Big") in ends and text.index("# S2") in ends and text.index("# S1") not in ends
 
 
 ALPHABET = string.ascii_letters + "  \n\n\t'’.,;0123456789éжß中😀  " + "'s'll"
