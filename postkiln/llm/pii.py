@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from postkiln.llm import mojibake
 from postkiln.llm.pii_table import KINDS, labelled_table
+from postkiln.operators.skew import routed_join
+from postkiln.session import written
 
 LABELS = ("", *KINDS)
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
-#: Most entries of the lexicon of name words, the commonest first; a bounded sample of labels for one feature of the model.
+#: Most name words that are sent along as a whole; of more, each text is joined with those that stand in it.
 LEXICON = 50_000
 #: Token types whose scores a worker remembers; a full memory is emptied, which costs time only.
 REMEMBERED = 300_000
@@ -184,8 +186,8 @@ class _Types(dict):
 class Tagger:
     """Decodes batches of texts; keeps the scores of token types it has met."""
 
-    def __init__(self, model: Model, lexicon: frozenset[str]) -> None:
-        self.model, self.lexicon = model, lexicon
+    def __init__(self, model: Model, lexicon: frozenset[str] | set[str]) -> None:
+        self.model, self.lexicon = model, set(lexicon)
         moves = model.moves
         # most that the moves into and out of one token can be worth against those of an ordinary token in its place
         self.gain = 2 * float(moves.max() - min(moves[0].min(), moves[:, 0].min()))
@@ -340,11 +342,13 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def name_lexicon(names: DataFrame, column: str) -> frozenset[str]:
-    """Words of a column of person names: at most LEXICON of them, the commonest first, so its size is bounded."""
-    words = names.select(F.explode(F.split(F.col(column), r"\s+")).alias("w")).filter(F.col("w").rlike(r"^\p{Lu}[\p{L}'’\-]{2,}$"))
-    common = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(LEXICON)
-    return frozenset(mojibake.repair(r["w"])[0] for r in common.collect())
+_NAME_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’\-]){2,}")
+
+
+def name_words(names: DataFrame, column: str) -> DataFrame:
+    """(w): the distinct words of a column of person names that begin with a capital, read as restored where garbled."""
+    words = names.select(F.explode(F.split(F.col(column), r"\s+")).alias("w")).filter(F.col("w").rlike(r"^\p{Lu}[\p{L}'’\-]{2,}$")).distinct()
+    return mojibake.with_restored(words, "w").distinct()
 
 
 def _whole_fields(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -357,24 +361,63 @@ def _may_hold(text: Column) -> Column:
     return (F.lower(text) != text) | text.contains("@") | text.rlike("[0-9]| at |[(\\[]at[)\\]]")
 
 
-def tagged_fields(df: DataFrame, lexicon: frozenset[str], key: str, fields: tuple[str, ...]) -> DataFrame:
+def _name_words_of(text: str) -> list[str]:
+    return list({w for w in tokens(text) if w[0].isupper() and _NAME_WORD.fullmatch(w)})
+
+
+def tagged_fields(df: DataFrame, lexicon: DataFrame | frozenset[str], key: str, fields: tuple[str, ...]) -> DataFrame:
     """(key, field_name, kinds, clean_text) of each field that holds personal information.
 
     clean_text is the field, read as restored where it was garbled, with every item replaced by a placeholder of its kind. Null and
-    empty fields hold nothing; repeated rows stay repeated; other columns are not read. The model is trained once and sent along.
+    empty fields hold nothing; repeated rows stay repeated; other columns are not read. The model is trained once and sent along,
+    and with it the lexicon (a set, or a table of words) while it has at most LEXICON words. Of a larger one each text is joined
+    with the words that stand in it, so that every word counts in both ways.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((trained(), lexicon))
+    kind = df.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, field_name string, kinds array<string>, clean_text string"
+    rows = _whole_fields(df, key, fields)
+    if isinstance(lexicon, DataFrame):
+        few = [r["w"] for r in lexicon.limit(LEXICON + 1).collect()]
+        if len(few) > LEXICON:
+            return _tagged_beside(rows, lexicon, key, kind).mapInPandas(_finder(spark.sparkContext.broadcast((trained(), frozenset())), key), out)
+        lexicon = frozenset(few)
+    return rows.mapInPandas(_finder(spark.sparkContext.broadcast((trained(), lexicon)), key), out)
+
 
+def _finder(shared, key: str):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(*shared.value)
         for batch in batches:
-            texts = [mojibake.repair(t)[0] for t in batch["_text"]]
+            if "known" in batch:
+                texts = list(batch["_text"])
+                if len(tagger.types) > REMEMBERED:
+                    tagger.lexicon.clear()
+                    tagger._forget()
+                tagger.lexicon.update(w for known in batch["known"] if known is not None for w in known)
+            else:
+                texts = [mojibake.repair(t)[0] for t in batch["_text"]]
             out = []
             for k, f, t, spans in zip(batch[key], batch["field_name"], texts, tagger.spans(texts)):
                 if spans:
                     out.append((k, f, sorted({s[2] for s in spans}), replaced(t, spans)))
             yield pd.DataFrame(out, columns=[key, "field_name", "kinds", "clean_text"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return _whole_fields(df, key, fields).mapInPandas(find, f"{key} {kind}, field_name string, kinds array<string>, clean_text string")
+    return find
+
+
+def _tagged_beside(rows: DataFrame, lexicon: DataFrame, key: str, kind: str) -> DataFrame:
+    """rows, restored, with known: the words of each text that the lexicon holds. Common words meet it by the routed way."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [mojibake.repair(t)[0] for t in batch["_text"]]
+            yield pd.DataFrame({key: batch[key], "field_name": batch["field_name"], "_text": texts, "words": [_name_words_of(t) for t in texts]})
+
+    read_rows = rows.mapInPandas(read, f"{key} {kind}, field_name string, _text string, words array<string>").withColumn("_h", F.xxhash64("_text"))
+    restored = written(read_rows, "restored-fields")
+    asked = restored.select(key, "field_name", "_h", F.explode("words").alias("w")).distinct()
+    counted = asked.groupBy("w").agg(F.count(F.lit(1)).alias("_n")).join(lexicon.select("w").distinct(), "w")
+    known = routed_join(asked, counted, "w", "_n").groupBy(F.col(key).alias("_k"), F.col("field_name").alias("_f"), F.col("_h").alias("_kh")).agg(F.collect_set("w").alias("known"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("field_name") == F.col("_f")) & (F.col("_h") == F.col("_kh"))
+    return restored.join(known, same, "left").select(key, "field_name", "_text", "known")

@@ -64,8 +64,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_masked(spark: SparkSession, d: str) -> DataFrame:
     """Each field with personal information, with placeholders in its place."""
-    lexicon = pii.name_lexicon(table(spark, d, "messages", "from_name"), "from_name")
-    return pii.tagged_fields(table(spark, d, "messages", "row_id", *TEXT_FIELDS), lexicon, "row_id", TEXT_FIELDS)
+    words = pii.name_words(table(spark, d, "messages", "from_name"), "from_name")
+    return pii.tagged_fields(table(spark, d, "messages", "row_id", *TEXT_FIELDS), words, "row_id", TEXT_FIELDS)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
