@@ -39,10 +39,15 @@ SIGNS = "«»“”„‘’‚‹›–—…•·€£¥¢§©®™°±²³¼
 _SAFE = frozenset(map(chr, range(128))) | frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ") | frozenset(LETTERS) - {"Ñ"} | frozenset(SIGNS) | {"\u0301", "\u0303", "\u0308"}
 _CYRILLIC_CAPITALS = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _LEADS, _ACCENTS = frozenset("ÂÃâãÔ"), frozenset(LETTERS)
-_TURNED = re.compile("[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]")
+# what a search begins with is the rarer character, so that most places are passed over at once
+_TURNED = re.compile("(?<=[а-яё])[А-ЯЁ]|[А-ЯЁ]{3}")
+_MIXED = re.compile("[A-Za-z][А-Яа-яЁё]|(?<=[А-Яа-яЁё])[A-Za-z]")
+_LATIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_CYRILLIC = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдеёжзийклмнопрстуфхцчшщъыьэюя")
 _LED = re.compile("Ô[À-ÿ]|[ÂÃâã][^\x00-\x7fA-Za-zà-üÀ-Ü]|Â(?= )")
-_ODD_PLACE = re.compile("[a-z][ÀÁÂÃÄÇÉÊÍÓÔÕÖÚÜ]|[^aeiouyäöüAEIOUÄÖÜ]ß|[À-ÖØ-öø-ÿ]{3}")
-_SIGN_INSIDE = re.compile("[^\\W\\d_][¡¢£¥§©®°±²³¼½¾×÷‚„‘“”‹›€™•¿ºª¹][^\\W\\d_]")
+_ODD_PLACE = re.compile("(?<=[a-z])[ÀÁÂÃÄÇÉÊÍÓÔÕÖÚÜ]|(?<![aeiouyäöüAEIOUÄÖÜ])(?<=.)ß|[À-ÖØ-öø-ÿ]{3}", re.S)
+_INSIDE = frozenset("¡¢£¥§©®°±²³¼½¾×÷‚„‘“”‹›€™•¿ºª¹")
+_SIGN_INSIDE = re.compile("(?<=[^\\W\\d_])[¡¢£¥§©®°±²³¼½¾×÷‚„‘“”‹›€™•¿ºª¹][^\\W\\d_]")
 
 
 def suspicious(text: str) -> bool:
@@ -60,9 +65,11 @@ def suspicious(text: str) -> bool:
         return True
     if not used.isdisjoint(_CYRILLIC_CAPITALS) and _TURNED.search(text):
         return True
+    if not used.isdisjoint(_LATIN) and not used.isdisjoint(_CYRILLIC) and _MIXED.search(text):
+        return True
     if not used.isdisjoint(_ACCENTS) and (_ODD_PLACE.search(text) or (not used.isdisjoint(_LEADS) and _LED.search(text))):
         return True
-    return bool(_SIGN_INSIDE.search(text))
+    return not used.isdisjoint(_INSIDE) and bool(_SIGN_INSIDE.search(text))
 
 
 def not_ascii(text: Column) -> Column:
