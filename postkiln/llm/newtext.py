@@ -26,8 +26,8 @@ from postkiln.operators.deliveries import cleaned_id
 from postkiln.operators.skew import ranked_by_range
 from postkiln.session import written
 
-#: Words of one shingle, and least words of an aligned run that counts as inherited.
-SHINGLE, LEAST_RUN = 5, 8
+#: Words of a run that counts as inherited where an earlier mail holds it.
+LEAST_RUN = 8
 #: Most messages of a conversation that one task gathers, and most rows of the list of larger ones that is broadcast.
 LARGEST, BROADCAST_ROWS = 2000, 50_000
 
@@ -81,7 +81,7 @@ _NO_HASHES = np.zeros(0, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _rolling(words: list[str], size: int = SHINGLE, code: Callable[[str], int] = hash) -> np.ndarray:
+def _rolling(words: list[str], size: int = LEAST_RUN, code: Callable[[str], int] = hash) -> np.ndarray:
     """Hash of each ``size`` consecutive words: one polynomial, rolled over the whole text at once."""
     if len(words) < size:
         return _NO_HASHES
@@ -94,41 +94,6 @@ def _rolling(words: list[str], size: int = SHINGLE, code: Callable[[str], int] =
     return out ^ (out >> np.uint64(29))
 
 
-@lru_cache(maxsize=256)
-def _shingled(text: str) -> tuple[tuple[str, ...], np.ndarray, list[int], frozenset[int]]:
-    """(lines, line of each word, hash of each shingle, their set) of a text; a mail is read once as itself and as an ancestor."""
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    found = [_WORD.findall(_bare(line).lower()) for line in lines]
-    owner = np.repeat(np.arange(len(lines)), [len(f) for f in found])
-    hashes = _rolling([w for f in found for w in f]).tolist()
-    return tuple(lines), owner, hashes, frozenset(hashes)
-
-
-def inherited_lines(text: str, ancestor: str) -> list[float]:
-    """For each line the share of its words that lie in runs of at least LEAST_RUN words aligned with the ancestor; -1 without words."""
-    lines, owner, my_list, _ = _shingled(text)
-    total = np.bincount(owner, minlength=len(lines))
-    hit = np.zeros(len(owner), dtype=bool)
-    _, _, their_list, their_set = _shingled(ancestor)
-    if not their_set.isdisjoint(my_list):
-        places: dict[int, list[int]] = {}
-        for at, h in enumerate(their_list):
-            places.setdefault(h, []).append(at)
-        i = 0
-        while i < len(my_list):
-            best = 0
-            for at in places.get(my_list[i], ()):
-                k = 1
-                while i + k < len(my_list) and at + k < len(their_list) and my_list[i + k] == their_list[at + k]:
-                    k += 1
-                best = max(best, k)
-            if best and best + SHINGLE - 1 >= LEAST_RUN:
-                hit[i : i + best + SHINGLE - 1] = True
-            i += max(best, 1)
-    hits = np.bincount(owner, weights=hit, minlength=len(lines))
-    return np.where(total > 0, hits / np.maximum(total, 1), -1.0).tolist()
-
-
 def _code(text: str) -> int:
     """A hash that is the same in every process."""
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -176,10 +141,9 @@ def _is_attribution(line: str) -> bool:
 
 def classify(text: str, ancestor: str | None, names: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
     """``classified`` beside one earlier mail, or none."""
-    lines = list(_shingled(text)[0])
-    share = inherited_lines(text, ancestor) if ancestor else [0.0] * len(lines)
-    theirs = _stripped((ancestor or "").replace("\r\n", "\n").split("\n"))
-    return lines, classified(lines, share, theirs.__contains__, names)
+    lines, owner, runs = _runs(text)
+    theirs, _, their_runs = _runs(ancestor or "")
+    return lines, classified(lines, _shares(len(lines), owner, np.isin(runs, their_runs)), _stripped(theirs).__contains__, names)
 
 
 def classified(lines: list[str], share: list[float], is_theirs: Callable[[str], bool], names: tuple[str, ...] = ()) -> list[str]:
@@ -241,8 +205,9 @@ def classified(lines: list[str], share: list[float], is_theirs: Callable[[str],
     solid = [i for i in copied if len(_WORD.findall(lines[i])) >= LEAST_RUN]
     for i in solid:
         kind[i] = "quoted"
+    beside = {s + k for s in solid for k in range(-2, 3)}
     for i in copied:
-        if not kind[i] and any(abs(i - s) <= 2 for s in solid):
+        if not kind[i] and i in beside:
             kind[i] = "quoted"
     if solid:
         # the rest of an appended copy: greeting above it, signature and notices below it
