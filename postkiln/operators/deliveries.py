@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postkiln.operators.skew import routed_join, salt
+from postkiln.operators.skew import HOT_KEYS, routed_join, salt
 
 
 def cleaned_id(column: str | Column) -> Column:
@@ -46,8 +46,10 @@ def keep_first_delivery(messages: DataFrame, id_column: str = "msg_id", order: t
     """
     rows = messages.withColumn("_id", cleaned_id(id_column))
     named = rows.filter("_id IS NOT NULL")
-    frequency = named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    singles = named.join(frequency.filter("_n > 1").select("_id"), "_id", "left_anti")
+    repeated = named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # the heaviest identifiers leave by a broadcast of bounded size, so that none of them fills a task of the shuffled join
+    heaviest = repeated.orderBy(F.desc("_n"), "_id").limit(HOT_KEYS).select("_id")
+    singles = named.join(F.broadcast(heaviest), "_id", "left_anti").join(repeated.select("_id"), "_id", "left_anti")
     return rows.filter("_id IS NULL").unionByName(singles).unionByName(_split(rows, list(order))[0]).drop("_id")
 
 

@@ -458,7 +458,9 @@ def messages_of_days(spark: SparkSession, d: str) -> DataFrame:
     start, _ = snapshots.time_window(F.lit("2025-01-15"), F.col("mailbox_tz"))
     _, end = snapshots.time_window(F.lit("2025-02-14"), F.col("mailbox_tz"))
     at = F.col("ingested_at").cast("timestamp")
-    return table(spark, d, "messages", "row_id", "mailbox_id", "ingested_at").join(boxes, "mailbox_id").filter((at >= start) & (at < end)).select("row_id")
+    # no zone is a day from UTC: plain bounds reach the scan, the exact ones are those of each mailbox
+    near = table(spark, d, "messages", "row_id", "mailbox_id", "ingested_at").filter("ingested_at >= TIMESTAMP_NTZ '2025-01-14 00:00:00' AND ingested_at < TIMESTAMP_NTZ '2025-02-16 00:00:00'")
+    return near.join(boxes, "mailbox_id").filter((at >= start) & (at < end)).select("row_id")
 
 
 @query("SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, count(*) AS n_events FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id, s")
