@@ -110,7 +110,14 @@ def thread_statistics(spark: SparkSession, d: str) -> DataFrame:
     return threads.thread_statistics(_threaded(spark, d, "text_body"), "thread", "text_body")
 
 
-@query()
+_TRIGRAMS = "CASE WHEN length({t}) >= 3 THEN list_distinct(list_transform(range(1, length({t}) - 1), lambda i: substr({t}, i, 3))) ELSE [] END"
+
+
+@query(f"""WITH RECURSIVE heads AS (SELECT thread, arg_min({{'s': subject, 'b': text_body}}, {{'a': ingested_at, 'r': row_id}}) AS h FROM (SELECT *, {_THREAD} AS thread FROM messages) WHERE text_body IS NOT NULL GROUP BY 1),
+keyed AS (SELECT thread, {_SUBJECT_SQL} AS s, {_TRIGRAMS.format(t="lower(substr(b, 1, 200))")} AS g FROM (SELECT thread, h.s AS subject, h.b AS b FROM heads)), rows AS MATERIALIZED (SELECT * FROM keyed WHERE s <> '' AND len(g) > 0),
+edges AS MATERIALIZED (SELECT a.thread AS x, b.thread AS y FROM rows a JOIN rows b ON a.s = b.s AND a.thread <> b.thread WHERE len(list_intersect(a.g, b.g)) >= 0.7 * len(list_distinct(list_concat(a.g, b.g)))),
+reach AS (SELECT thread AS x, thread AS c FROM rows UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.c = e.x)
+SELECT x AS thread, min(c) AS merged_into FROM reach GROUP BY 1""")
 def merged_threads(spark: SparkSession, d: str) -> DataFrame:
     """Threads of one subject with like first messages, as classes; tested against brute force."""
     heads = _threaded(spark, d, "text_body").filter("text_body IS NOT NULL").groupBy("thread").agg(F.min_by(F.struct("subject", "text_body"), F.struct("ingested_at", "row_id")).alias("h"))
