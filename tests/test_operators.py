@@ -48,9 +48,18 @@ def test_html():
 
 
 def test_quotes():
-    text = "New\n\nOn 1 May A wrote:\n> first\n> second\n>> deep\n"
-    assert quotes.without_quotes(text) == f"New\n\n{quotes.HEAD_NOTE}\nfirst\nsecond"
-    assert quotes.main_content("From: a\nTo: b\n\nBody\n> q") == "Body"
+    note = quotes.HEAD_NOTE
+    assert quotes.without_quotes("New\n\nOn 1 May A wrote:\n> first\n> second\n>> deep\n") == f"New\n\n{note}\n> first\n> second"
+    # header lines between the head and its prefixes, a second level, and a long line that is new again
+    text = "Hi\nFrom: A\nTo: B\n\n> one\n> \n> two\n> > three\nshort rest\nthis line is long enough to be something that was newly written below it"
+    assert quotes.without_quotes(text) == f"Hi\n{note}\n> one\n> two\n\nthis line is long enough to be something that was newly written below it"
+    # two paragraphs, ten lines, orphan prefixes, a forwarding mark
+    assert quotes.without_quotes("On 1 May A wrote:\n> a\n>\n> b\n>\n> c") == f"{note}\n> a\n> b"
+    assert quotes.without_quotes("On 1 May A wrote:\n" + "\n".join(f"> l{i}" for i in range(15))).count("> l") == quotes.HEAD_LINES
+    assert quotes.without_quotes("x\n> orphan\ny") == "x" and quotes.without_quotes("x\n-----Original Message-----\nFrom: q\nbody") == "x"
+    assert quotes.without_quotes("a\n> b\n>>> c\nfirst after\nkept", keep_head=False) == "a\nkept"
+    assert quotes.without_quotes("a\n> b\n>>>>>> too deep\nnext", keep_head=False) == "a\n>>>>>> too deep\nnext"
+    assert quotes.main_content("From: a\nTo: b\n\nBody that is new\n> q").endswith("Body that is new")
 
 
 def test_chunks_are_slices(spark):
