@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,6 +151,33 @@ def parts_column(text: Column, limit: int) -> Column:
     return cut(text)
 
 
+def delivered(reports: DataFrame, key: str, report: str, send: Callable[[str], object], limit: int = 16383) -> DataFrame:
+    """(key, n_parts, status, error): each report sent in parts of at most ``limit`` characters, in order, by ``send`` in the tasks.
+
+    A part that fails stops its report and is a warning with the error, not a failure of the job; null reports are skipped.
+    """
+    kind = reports.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, text in batch.itertuples(index=False, name=None):
+                if not isinstance(text, str):
+                    out.append((k, 0, "skipped", None))
+                    continue
+                parts, sent, error = message_parts(text, limit), 0, None
+                try:
+                    for part in parts:
+                        send(part)
+                        sent += 1
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                out.append((k, sent, "warning" if error else "sent", error))
+            yield pd.DataFrame(out, columns=[key, "n_parts", "status", "error"])
+
+    return reports.select(key, report).mapInPandas(run, f"{key} {kind}, n_parts int, status string, error string")
+
+
 def confidence_number(label: Column) -> Column:
     """Words and spellings of confidence as a number: High 0.9, Medium 0.7, Low 0.4; numbers stay; null otherwise."""
     low = F.lower(F.trim(label))

@@ -6,6 +6,10 @@ extractive digest.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +74,41 @@ def prompts(blocks: DataFrame, run: str, place: str, block: str) -> DataFrame:
     return blocks.groupBy(run).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.col(block).alias("b")))), lambda x: x["b"]), "\n").alias("prompt"))
 
 
+def prompt_named(name: str, registry: dict[str, str]) -> str:
+    """The text of a prompt; an unknown name is an error that lists the known ones."""
+    if name not in registry:
+        raise KeyError(f"no prompt {name!r}; there are {', '.join(sorted(registry))}")
+    return registry[name]
+
+
+def called(prompts_of: DataFrame, run: str, call: Callable[[str], str], attempts: int = CALLS, first_wait: float = SPACING_S, usable: Callable[[str], bool] = bool) -> DataFrame:
+    """(run, reply, n_calls, error): the reply of a model to the prompt of each run.
+
+    ``call`` is whatever reaches the model and runs in the tasks; what raises ConnectionError or TimeoutError, or is not usable, is
+    asked again, and the last error stands beside a null reply. Prompts are read as they come, one after the other in each task.
+    """
+    kind = prompts_of.schema[run].dataType.simpleString()
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, prompt in batch.itertuples(index=False, name=None):
+                reply = error = None
+                for n in range(1, attempts + 1):
+                    try:
+                        reply = call(prompt)
+                        error = None if usable(reply) else "unusable reply"
+                    except (ConnectionError, TimeoutError) as e:
+                        reply, error = None, type(e).__name__
+                    if error is None or n == attempts:
+                        break
+                    time.sleep(first_wait * n)
+                out.append((key, reply if error is None else None, n, error))
+            yield pd.DataFrame(out, columns=[run, "reply", "n_calls", "error"])
+
+    return prompts_of.select(run, "prompt").mapInPandas(ask, f"{run} {kind}, reply string, n_calls int, error string")
+
+
 def replayed(calls: DataFrame, replies: DataFrame, call_no: str = "call_no") -> DataFrame:
     """Each call with the recorded reply of its number; a call beyond the recording is an error, as it would be on the wire."""
     n = replies.groupBy().agg(F.coalesce(F.max(call_no), F.lit(-1)).alias("_last"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postkiln.functions.text import jaccard, subject_key, trigrams
-from postkiln.operators.skew import ranked_by_range
+from postkiln.operators.skew import ranked_by_range, routed_join
 from postkiln.session import written
 
 #: Messages kept per thread, and least trigram overlap of two threads with one subject that are merged.
@@ -105,37 +105,57 @@ def prioritised(threads: DataFrame, as_of: str) -> DataFrame:
     return threads.withColumn("priority", score + F.when(F.col("n_messages") > 10, 1.0).when(F.col("n_messages") > 5, 0.5).otherwise(0.0))
 
 
+def components(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """label (x, c) with c the least class of the connected component; edges (x, y) stand in one direction.
+
+    Each class is hooked to the least class beside it and the hooks are followed by doubling, until no class has a lesser one
+    beside it. Every round at least halves the classes that can still be joined. Only tables of classes are joined, and hooks
+    have one row per class.
+    """
+    both = written(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "merge-edges")
+    while True:
+        across = both.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").filter("d < c")
+        hooks = written(across.groupBy("c").agg(F.min("d").alias("up")), "merge-hooks")
+        if hooks.isEmpty():
+            return label
+        while True:
+            further = hooks.select(F.col("c").alias("up"), F.col("up").alias("_next"))
+            if hooks.join(further, "up", "left_semi").isEmpty():
+                break
+            hooks = written(hooks.join(further, "up", "left").select("c", F.coalesce("_next", "up").alias("up")), "merge-hooks")
+        label = written(label.join(hooks, "c", "left").select("x", F.coalesce("up", "c").alias("c")), "merge-labels")
+
+
 def merged_threads(heads: DataFrame, thread: str, subject: str, text: str) -> DataFrame:
     """(thread, merged_into): threads of one subject whose first texts share at least LIKE of their trigrams, joined in groups.
 
     Candidates are not all pairs of a subject: two sets that share LIKE of their trigrams share one among the first trigrams of
-    each in the order of rarity (prefix filter), so only threads that meet in such a trigram are compared, exactly. Groups are
-    the connected components: each class is hooked to the least class beside it and the hooks are followed by doubling, until no
-    class has a lesser one beside it. Every round at least halves the classes that can still be joined.
+    each in the order of rarity (prefix filter), so only threads that meet in such a trigram are compared, exactly. Exact copies
+    are one representative. Of those that meet in a trigram each is compared with the least one first; those that are like it are
+    one class already, so only pairs with one that is not, and that lie in different classes, are compared after that. So a
+    subject with very many like texts costs as many comparisons as it has texts. Groups are the connected components.
     """
     rows = heads.select(F.col(thread).alias("t"), subject_key(F.col(subject)).alias("s"), trigrams(F.col(text)).alias("g")).filter("s != '' AND size(g) > 0")
-    # exact copies are one representative: they need no comparison
     same = rows.withColumn("h", F.xxhash64("s", F.array_sort("g"))).groupBy("s", "h").agg(F.min("t").alias("rep"), F.first("g").alias("g"))
     reps = written(same, "merge-reps")
     rarity = reps.select("s", F.explode("g").alias("q")).groupBy("s", "q").agg(F.count(F.lit(1)).alias("n"))
     ranked = reps.select("s", "rep", F.size("g").alias("size"), F.explode("g").alias("q")).join(rarity, ["s", "q"])
     w = Window.partitionBy("s", "rep").orderBy("n", "q")
-    prefix = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * LIKE) + 1).select("s", "rep", "q")
-    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.s").alias("s"), F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
+    prefix = written(ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * LIKE) + 1).select(F.struct("s", "q").alias("meet"), "rep"), "merge-prefix")
     sets = reps.select("rep", "g")
-    checked = pairs.join(sets.select(F.col("rep").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("g").alias("gy")), "y").filter(jaccard(F.col("gx"), F.col("gy")) >= LIKE).select("x", "y")
-    edges = written(checked.unionByName(checked.select(F.col("y").alias("x"), F.col("x").alias("y"))), "merge-edges")
-    label = reps.select(F.col("rep").alias("x"), F.col("rep").alias("c"))
-    while True:
-        across = edges.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").filter("d < c")
-        hooks = written(across.groupBy("c").agg(F.min("d").alias("up")), "merge-hooks")
-        if hooks.isEmpty():
-            break
-        while True:
-            further = hooks.select(F.col("c").alias("up"), F.col("up").alias("_next"))
-            if hooks.join(further, "up", "left_semi").isEmpty():
-                break
-            hooks = written(hooks.join(further, "up", "left").select("c", F.coalesce("_next", "up").alias("up")), "merge-hooks")
-        label = written(label.join(hooks, "c", "left").select("x", F.coalesce("up", "c").alias("c")), "merge-labels")
-    member = rows.withColumn("h", F.xxhash64("s", F.array_sort("g"))).select("t", "s", "h").join(same.select("s", "h", "rep"), ["s", "h"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that are as like as they must be."""
+        both = pairs.join(sets.select(F.col("rep").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("g").alias("gy")), "y")
+        return both.filter(jaccard(F.col("gx"), F.col("gy")) >= LIKE).select("x", "y")
+
+    leaders = prefix.groupBy("meet").agg(F.min("rep").alias("x"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    members = written(routed_join(prefix, leaders, "meet", "_n").filter("rep != x").select("meet", "x", F.col("rep").alias("y")), "merge-members")
+    near = written(alike(members.select("x", "y").distinct()), "merge-near")
+    label = written(components(near, reps.select(F.col("rep").alias("x"), F.col("rep").alias("c"))), "merge-labels")
+    alone = members.join(near, ["x", "y"], "left_anti").select("meet", F.col("y").alias("u"))
+    others = alone.join(prefix, "meet").filter("u != rep").select(F.least("u", "rep").alias("x"), F.greatest("u", "rep").alias("y")).distinct()
+    apart = others.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").filter("c != d").select("x", "y")
+    label = components(alike(apart), label)
+    member = rows.withColumn("h", F.xxhash64("s", F.array_sort("g"))).select("t", "s", "h").join(reps.select("s", "h", "rep"), ["s", "h"])
     return member.join(label.select(F.col("x").alias("rep"), F.col("c").alias("merged_into")), "rep").select(F.col("t").alias(thread), "merged_into")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +75,18 @@ def read_records(spark: SparkSession, path: str, one_document: bool = False) ->
     return whole.select(F.inline("_m")), whole.filter("_m IS NULL").select("source", F.col("value").alias("record"))
 
 
+def ingested(spark: SparkSession, live: Callable[[], DataFrame] | None = None, replay: str | None = None, dump: str | None = None, one_document: bool = False) -> DataFrame:
+    """The messages of a run: those of a snapshot where ``replay`` names one, else what ``live`` gives, in canonical form. With
+    ``dump`` they are written as a snapshot, which is then read, so that the run and its replay see the same."""
+    if replay is None and live is None:
+        raise ValueError("give a snapshot to replay or a live source")
+    messages = canonical(read_snapshot(spark, replay, one_document) if replay is not None else live())
+    if dump is None:
+        return messages
+    write_snapshot(messages.select(*[c for c in MESSAGE.fieldNames() if c in messages.columns]), dump)
+    return canonical(read_snapshot(spark, dump))
+
+
 def snapshot_meta(messages: DataFrame, source: str, digest_date: str, fetched_at: str) -> DataFrame:
     """One row (meta): the JSON object that says where a snapshot comes from, for which day, when, and how many messages it holds."""
     n = messages.agg(F.count(F.lit(1)).alias("count"))
@@ -121,3 +135,9 @@ def changelog(text: str) -> list[tuple[str, str, str]]:
     import re
 
     return [m.groups() for m in re.finditer(r"^\s*[-*]?\s*(v?\d+(?:\.\d+)*)\s*[-–—|]\s*(\d{4}-\d{2}-\d{2})\s*[-–—|:]\s*(.+?)\s*$", text, re.M)]
+
+
+def changelog_table(entries: list[tuple[str, str, str]]) -> str:
+    """The versions of ``changelog`` as a table of Markdown, the current one first."""
+    rows = [f"| {version} | {day} | {note} |" for version, day, note in reversed(entries)]
+    return "\n".join(["| version | date | note |", "|-|-|-|", *rows])

@@ -166,3 +166,16 @@ def test_lemmas_of_all_tokens(spark, tmp_path):
     want = Counter(lemma(w) for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
     assert {r["lemma"]: r["n"] for r in lemma_counts(spark, str(tmp_path)).collect()} == want
     assert want["review"] == want["test"] == want["approve"] == 2
+
+
+def test_many_like_threads_cost_few_comparisons(spark, monkeypatch):
+    """Eighty near copies of one text: pairs are as many as texts, not as their square."""
+    r = random.Random(6)
+    base = "status report of the nightly export of invoices to the northern warehouse with all totals listed below"
+    texts = [base[:20] + "".join(r.choice("abcdefgh") for _ in range(3)) + base[23:] for _ in range(80)] + ["nothing like the others at all, a different letter"]
+    df = spark.createDataFrame([(f"t{i:02}", "S", x) for i, x in enumerate(texts)], "t string, s string, x string")
+    seen, kept = {}, threads.written
+    monkeypatch.setattr(threads, "written", lambda d, label: seen.setdefault(label, []).append(out := kept(d, label)) or out)
+    got = {x["t"]: x["merged_into"] for x in threads.merged_threads(df, "t", "s", "x").collect()}
+    assert got == {f"t{i:02}": "t00" for i in range(80)} | {"t80": "t80"}
+    assert sum(e.count() for e in seen["merge-edges"]) < 8 * 80

@@ -222,3 +222,38 @@ def test_confidences_by_a_plain_reading(spark):
         rank = c["signals"]["sender_rank"] if c["signals"] and c["signals"]["sender_rank"] is not None else 1
         score = 1.5 * (bool(c["addressed_to_me"]) or mentioned(t)) + 1.2 * (has["IMPERATIVE_RU"] or has["IMPERATIVE_EN"]) + 1.0 * (has["MARKER_RU"] or has["MARKER_EN"]) + 0.8 * has["QUESTION"] + 0.6 * has["DEADLINE"] + 0.5 * rank
         assert r["confidence"] == pytest.approx(1 / (1 + math.exp(1.5 - score)), abs=2e-6)
+
+
+def test_called_delivered_and_ingested(spark, tmp_path):
+    from postkiln.operators import digest
+
+    prompts = spark.createDataFrame([("a", "ok"), ("b", "down"), ("c", "empty")], "run string, prompt string")
+
+    def call(prompt):
+        if prompt == "down":
+            raise ConnectionError
+        return "" if prompt == "empty" else "{}"
+
+    got = {r["run"]: (r["reply"], r["n_calls"], r["error"]) for r in replies.called(prompts, "run", call, first_wait=0).collect()}
+    assert got == {"a": ("{}", 1, None), "b": (None, 2, "ConnectionError"), "c": (None, 2, "unusable reply")}
+    assert replies.prompt_named("x", {"x": "text"}) == "text"
+    with pytest.raises(KeyError, match="there are x"):
+        replies.prompt_named("y", {"x": "text"})
+
+    def send(part):
+        if "bad" in part:
+            raise ValueError("refused")
+
+    texts = spark.createDataFrame([(1, "one\n\n" + "two " * 20), (2, "fine\n\n" + "x" * 50 + "\n\nbad"), (3, None)], "k int, r string")
+    sent = {r["k"]: (r["n_parts"], r["status"]) for r in digest.delivered(texts, "k", "r", send, 60).collect()}
+    assert sent[1][1] == "sent" and sent[1][0] >= 2 and sent[2][1] == "warning" and sent[3] == (0, "skipped")
+
+    live = spark.createDataFrame([("<M1>", "A@x", "b")], "msg_id string, sender_email string, text_body string")
+    full = live.select(*[F.col(f.name) if f.name in live.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in snapshots.MESSAGE.fields])
+    out = snapshots.ingested(spark, live=lambda: full, dump=str(tmp_path / "dump"))
+    again = snapshots.ingested(spark, replay=str(tmp_path / "dump"))
+    assert out.select("msg_id", "sender_email").collect() == again.select("msg_id", "sender_email").collect() == [("m1", "a@x")]
+    with pytest.raises(ValueError):
+        snapshots.ingested(spark)
+    table = snapshots.changelog_table([("v1", "2024-01-01", "first"), ("v2", "2024-02-01", "second")])
+    assert table.split("\n")[2].startswith("| v2 |")
