@@ -42,17 +42,16 @@ def test_a_full_sketch_loses_nothing_and_passes_only_repeated_marks(spark, monke
     n_marks = len(spans.marks([t for _, t in docs if len(t) >= spans.SPAN])[0])
     monkeypatch.setattr(spans, "LEAST_CELLS", 5)
     assert n_marks > 10 * (1 << 5)
-    assert {x["doc_id"]: x["shared_chars"] for x in spans.shared_spans(df, most_cells=5).collect()} == want
-    assert {x["doc_id"]: x["shared_chars"] for x in spans.shared_spans(df).collect()} == want
     # runs of windows are sent for repeated marks alone, whatever the sketch let through
-    seen = []
-    kept = spans.written
-    monkeypatch.setattr(spans, "written", lambda d, label: seen.append((label, out := kept(d, label))) or out)
-    spans.shared_spans(df, most_cells=5).count()
-    full = {label: t.count() for label, t in seen}
-    seen.clear()
-    spans.shared_spans(df).count()
-    assert full["span-likely"] > 0.9 * n_marks * 0.9 and full["span-runs"] == {label: t.count() for label, t in seen}["span-runs"]
+    counts, kept = {}, spans.written
+    for cells in (5, spans.MOST_CELLS):
+        seen = {}
+        monkeypatch.setattr(spans, "written", lambda d, label: seen.setdefault(label, kept(d, label)))
+        assert {x["doc_id"]: x["shared_chars"] for x in spans.shared_spans(df, most_cells=cells).collect()} == want
+        counts[cells] = {label: seen[label].count() for label in ("span-likely", "span-runs")}
+        monkeypatch.setattr(spans, "LEAST_CELLS", 17)
+    assert counts[5]["span-likely"] > 0.8 * n_marks > counts[spans.MOST_CELLS]["span-likely"]
+    assert counts[5]["span-runs"] == counts[spans.MOST_CELLS]["span-runs"]
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):
