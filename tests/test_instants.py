@@ -36,7 +36,7 @@ CASES = [
     ("2024-10-27 02:30:00", 1, None), ("2024-10-27 01:59:59", 1, us(2024, 10, 26, 23, 59, 59)), ("2024-10-27 03:00:00", 1, us(2024, 10, 27, 2)),
     ("2024-03-31 02:30:00", 1, None), ("2024-03-31 03:00:00", 1, us(2024, 3, 31, 1)),
     ("2024-01-03 04:05", 5, None), ("2024-01-03 04:05", 6, None), ("03.01.2024 10:00", 5, None),
-    ("2024-02-30T10:15:00Z", 1, None), ("31.11.2024 09:40", 1, None), ("2024-01-03 24:00:00", 1, None), ("n/a", 1, None), ("", 1, None), (None, 1, None), ("x" * 100000, 1, None), ("2024-01-03 04:05", None, None),
+    ("2024-02-30T10:15:00Z", 1, None), ("31.11.2024 09:40", 1, None), ("2024-01-03 24:00:00", 1, None), ("n/a", 1, None), ("", 1, None), (None, 1, None), ("x" * 100000, 1, None), (" " * 150 + "2024-01-03 04:05" + " " * 90, 2, us(2024, 1, 3, 9, 5)), ("2024-01-03 04:05", None, None),
 ]
 
 
