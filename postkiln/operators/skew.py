@@ -35,6 +35,20 @@ def salt(size: str | Column, *spread: str, rows_per_salt: int = ROWS_PER_SALT) -
     return F.pmod(F.xxhash64(*spread), F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_salt)))).cast("int")
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, *spread: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Inner join of left with right on key, where very many rows of left may share a key and rows of right may be wide.
+
+    The rows of a key in left are counted; they are spread over as many salts as they need, by hash of the spread columns, and the
+    rows of right are copied to those salts. So no task holds all rows of a key, and nothing wide is broadcast. Null keys match
+    nothing.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    salted = routed_join(left, counts, key, "_n").withColumn("_salt", salt("_n", *spread, rows_per_salt=rows_per_salt)).drop("_n")
+    last = (F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_salt))) - 1).cast("int")
+    copies = right.join(counts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_n")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def ranked_by_range(df: DataFrame, key: str, bucket: str, order: list[Column], name: str) -> DataFrame:
     """Row numbers from 1 within key, where ``bucket`` is a value that never decreases along ``order``.
 

@@ -60,11 +60,11 @@ def recent(threads: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
 
 
 def by_latest(threads: DataFrame, thread: str) -> DataFrame:
-    """Threads in order of their latest message, newest first, with their place; a range-partitioned sort of the whole table, so
-    places are counted over ranges instead of one task."""
+    """Threads in order of their latest message, newest first, with their place. Threads of one minute are sorted together and the
+    places of minutes are counted, so the table is never sorted in one task."""
     shifted = threads.withColumn("_neg", -F.unix_micros(F.col("latest").cast("timestamp"))).withColumn("_all", F.lit(0))
-    day = F.coalesce(F.floor(F.col("_neg") / 86_400_000_000), F.lit(2**62)).cast("bigint")
-    return ranked_by_range(shifted.withColumn("_day", day), "_all", "_day", [F.col("_neg").asc_nulls_last(), F.col(thread)], "place").drop("_neg", "_all", "_day")
+    minute = F.coalesce(F.floor(F.col("_neg") / 60_000_000), F.lit(2**62)).cast("bigint")
+    return ranked_by_range(shifted.withColumn("_minute", minute), "_all", "_minute", [F.col("_neg").asc_nulls_last(), F.col(thread)], "place").drop("_neg", "_all", "_minute")
 
 
 def with_chunk_counts(threads: DataFrame, chunks: DataFrame, thread: str) -> DataFrame:

@@ -74,3 +74,13 @@ def test_intermediate_tables_are_removed(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://").rsplit("/", 1)[0]) and remove_written(spark) == 0
+
+
+def test_salted_join(spark):
+    from postkiln.operators.skew import salted_join
+
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 5}" if i % 3 else None) for i in range(200)], "i int, k string")
+    right = spark.createDataFrame([("hot", [1, 2]), ("k1", [3]), ("k1", [4]), ("none", [5])], "k string, wide array<int>")
+    want = sorted((r["i"], r["k"], tuple(r["wide"])) for r in left.join(right, "k").collect())
+    for per_salt in (3, 1000):
+        assert sorted((r["i"], r["k"], tuple(r["wide"])) for r in salted_join(left, right, "k", "i", rows_per_salt=per_salt).collect()) == want
