@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from postkiln.llm import mojibake
 from postkiln.operators.deliveries import cleaned_id
-from postkiln.operators.skew import ranked_by_range
+from postkiln.operators.skew import ranked_by_range, salted_join
 from postkiln.session import written
 
 #: Words of a run that counts as inherited where an earlier mail holds it.
@@ -474,10 +474,13 @@ def _beside_earlier(read: DataFrame, keys: DataFrame) -> DataFrame:
     mine, theirs = mails.select("row_id", "mail"), mails.select(F.col("row_id").alias("ancestor_row"), F.col("mail").alias("_theirs"))
     near = ancestors(keys).join(mine, "row_id").join(theirs, "ancestor_row").filter("_theirs < mail").select("row_id", "ancestor_row")
     theirs_runs = read.select(F.col("row_id").alias("ancestor_row"), F.col("runs").alias("_runs"))
-    before = near.join(mails.join(talks, "conversation_id", "left_anti").select("row_id"), "row_id", "left_semi").join(read.select("row_id", "runs"), "row_id").join(theirs_runs, "ancestor_row")
+    before = near.join(mails.join(talks, "conversation_id", "left_anti").select("row_id"), "row_id", "left_semi").join(read.select("row_id", "runs"), "row_id")
+    before = salted_join(before, theirs_runs, "ancestor_row", "row_id")  # one mail may be the ancestor of very many
     hits = among.select("row_id", "hits").unionByName(before.select("row_id", F.array_intersect("runs", "_runs").alias("hits")))
-    hit = among.select("conversation_id", "row_id", F.explode("sources").alias("mail")).join(mails.withColumnRenamed("row_id", "ancestor_row"), ["conversation_id", "mail"]).select("row_id", "ancestor_row")
-    lines = near.unionByName(hit).distinct().join(read.select(F.col("row_id").alias("ancestor_row"), "lines"), "ancestor_row").groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("theirs"))
+    at = F.struct("conversation_id", "mail").alias("_at")
+    asked = among.select("conversation_id", "row_id", F.explode("sources").alias("mail")).select("row_id", at)
+    hit = salted_join(asked, mails.select(F.col("row_id").alias("ancestor_row"), at), "_at", "row_id").select("row_id", "ancestor_row")
+    lines = salted_join(near.unionByName(hit).distinct(), read.select(F.col("row_id").alias("ancestor_row"), "lines"), "ancestor_row", "row_id").groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("theirs"))
     return hits.select("row_id", "hits").join(lines, "row_id")
 
 
