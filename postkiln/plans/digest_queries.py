@@ -406,7 +406,7 @@ def digest_issues(spark: SparkSession, d: str) -> DataFrame:
     return _issues(spark, d)[1]
 
 
-@query(f"""SELECT n.digest, n_items, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, n_items - coalesce(b, 0) AS clean_items, s AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 60 THEN 'C' ELSE 'D' END AS grade FROM (SELECT a.digest, n_items, e, w, b, greatest(0, 100 - 10 * coalesce(e, 0) - 3 * coalesce(w, 0)) AS s FROM (SELECT digest_date || '@' || mailbox_id AS digest, count(*) AS n_items FROM action_items GROUP BY 1) a LEFT JOIN (SELECT digest, CAST(sum(CASE WHEN issue LIKE 'error%' THEN 1 ELSE 0 END) AS BIGINT) AS e, CAST(sum(CASE WHEN issue LIKE 'warn%' THEN 1 ELSE 0 END) AS BIGINT) AS w, count(DISTINCT CASE WHEN issue LIKE 'error%' THEN item_id END) AS b FROM ({_ISSUES}) GROUP BY 1) i ON a.digest = i.digest) n""")
+@query(f"""SELECT n.digest, n_items, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, n_items - coalesce(b, 0) AS clean_items, s AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 60 THEN 'C' ELSE 'D' END AS grade, round((n_items - coalesce(b, 0)) / n_items, 3) AS quality_rate FROM (SELECT a.digest, n_items, e, w, b, greatest(0, 100 - 10 * coalesce(e, 0) - 3 * coalesce(w, 0)) AS s FROM (SELECT digest_date || '@' || mailbox_id AS digest, count(*) AS n_items FROM action_items GROUP BY 1) a LEFT JOIN (SELECT digest, CAST(sum(CASE WHEN issue LIKE 'error%' THEN 1 ELSE 0 END) AS BIGINT) AS e, CAST(sum(CASE WHEN issue LIKE 'warn%' THEN 1 ELSE 0 END) AS BIGINT) AS w, count(DISTINCT CASE WHEN issue LIKE 'error%' THEN item_id END) AS b FROM ({_ISSUES}) GROUP BY 1) i ON a.digest = i.digest) n""")
 def digest_grades(spark: SparkSession, d: str) -> DataFrame:
     items, found = _issues(spark, d)
     return evaluation.graded(items, found, "digest", "item_id")
