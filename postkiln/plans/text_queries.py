@@ -161,22 +161,25 @@ _TRIES_RU = "[" + ", ".join(f"CASE WHEN w LIKE '%{e}' AND length(w) > {len(e) +
 _TRIES_EN = """list_concat(list_concat(list_concat(list_concat(CASE WHEN w LIKE '%ing' AND length(w) > 5 THEN [w[:-4], w[:-4] || 'e', w[:-5]] ELSE [] END, CASE WHEN w LIKE '%ied' OR w LIKE '%ies' THEN [w[:-4] || 'y'] ELSE [] END), CASE WHEN w LIKE '%ed' AND length(w) > 4 THEN [w[:-3], w[:-2], w[:-4]] ELSE [] END), CASE WHEN w LIKE '%es' THEN [w[:-3], w[:-2]] ELSE [] END), CASE WHEN w LIKE '%s' THEN [w[:-2]] ELSE [] END)"""
 
 
-@query(f"""SELECT coalesce(CASE w WHEN 'sent' THEN 'send' WHEN 'met' THEN 'meet' WHEN 'пришлите' THEN 'прислать' WHEN 'пришли' THEN 'прислать' WHEN 'рассмотрите' THEN 'рассмотреть' WHEN 'рассмотри' THEN 'рассмотреть' WHEN 'закройте' THEN 'закрыть' WHEN 'закрой' THEN 'закрыть' END, CASE WHEN list_contains({_EN}, w) OR list_contains({_RU_BASE}, w) THEN w END,
-list_filter({_TRIES_EN}, lambda x: list_contains({_EN}, x))[1], list_filter({_TRIES_RU}, lambda x: x IS NOT NULL AND list_contains({_RU_BASE}, x))[1], w) AS lemma, CAST(sum(k) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(lower(translate(text, 'İ', 'i')), '[\\p{{L}}]+')) AS w, count(*) AS k FROM documents GROUP BY 1) GROUP BY 1""")
+_LEMMA = f"""coalesce(CASE w WHEN 'sent' THEN 'send' WHEN 'met' THEN 'meet' WHEN 'пришлите' THEN 'прислать' WHEN 'пришли' THEN 'прислать' WHEN 'рассмотрите' THEN 'рассмотреть' WHEN 'рассмотри' THEN 'рассмотреть' WHEN 'закройте' THEN 'закрыть' WHEN 'закрой' THEN 'закрыть' END, CASE WHEN list_contains({_EN}, w) OR list_contains({_RU_BASE}, w) THEN w END,
+list_filter({_TRIES_EN}, lambda x: list_contains({_EN}, x))[1], list_filter({_TRIES_RU}, lambda x: x IS NOT NULL AND list_contains({_RU_BASE}, x))[1], w)"""
+
+
+@query(f"""SELECT {_LEMMA} AS lemma, CAST(sum(k) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(lower(translate(text, 'İ', 'i')), '[\\p{{L}}]+')) AS w, count(*) AS k FROM documents GROUP BY 1) GROUP BY 1""")
 def lemma_counts(spark: SparkSession, d: str) -> DataFrame:
     """Lemmas of all tokens of documents; forms are counted before they are read."""
     tokens = table(spark, d, "documents", "text").select(F.explode(F.regexp_extract_all(F.lower(F.translate("text", "İ", "i")), F.lit(r"(\p{L}+)"), F.lit(1))).alias("form"))
     return tokens.groupBy("form").agg(F.count(F.lit(1)).alias("k")).groupBy(lemmas.lemma_of(F.col("form")).alias("lemma")).agg(F.sum("k").alias("n"))
 
 
-@query()
+@query(f"""SELECT lemma, list_sort(list(w)) AS forms, CAST(sum(k) AS BIGINT) AS n FROM (SELECT w, k, {_LEMMA} AS lemma FROM (SELECT unnest(regexp_extract_all(lower(translate(text, 'İ', 'i')), '[\\p{{L}}]+')) AS w, count(*) AS k FROM documents GROUP BY 1)) WHERE list_contains({_EN}, lemma) OR list_contains({_RU_BASE}, lemma) GROUP BY 1""".replace("list_sort(list(w)) AS forms", "array_to_string(list_sort(list(w)), '|') AS forms"))
 def lemma_forms(spark: SparkSession, d: str) -> DataFrame:
     """The forms of each known base that documents hold."""
     tokens = table(spark, d, "documents", "text").select(F.explode(F.regexp_extract_all(F.lower(F.translate("text", "İ", "i")), F.lit(r"(\p{L}+)"), F.lit(1))).alias("form"))
-    return lemmas.known_forms(tokens, "form")
+    return lemmas.known_forms(tokens, "form").withColumn("forms", F.array_join("forms", "|"))
 
 
-@query()
+@query(f"""SELECT item_id, coalesce(string_agg({_LEMMA}, ' ' ORDER BY i), CASE WHEN any_value(title) IS NOT NULL THEN '' END) AS lemmas FROM (SELECT item_id, title, i, lower(w0) AS w FROM (SELECT item_id, title, unnest(range(len(t))) AS i, unnest(t) AS w0 FROM (SELECT item_id, title, CASE WHEN len(t0) > 0 THEN t0 ELSE [NULL] END AS t FROM (SELECT item_id, title, list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '[\\s\\x{{85}}\\x{{a0}}\\p{{Z}}]+'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}_-]', '', 'g')), lambda x: x <> '') AS t0 FROM action_items)))) GROUP BY item_id""")
 def title_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "action_items", "item_id", "title").select("item_id", F.array_join(lemmas.lemmas_of_phrase(F.col("title")), " ").alias("lemmas"))
 
